@@ -85,7 +85,7 @@ def _placed(pages: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
         out = []
         for b, o in zip(boxes, options, strict=True):
             flat = np.asarray(b, dtype=float).reshape(-1, 4)
-            out.append(place_labels(flat, np.asarray(o, dtype=float).reshape(len(flat), -1, 4)))
+            out.append(place_labels(flat, np.asarray(o, dtype=float).reshape(-1, 8, 4)))
         yield pd.Series(out, dtype=object)
 
 
