@@ -29,6 +29,7 @@ _IDEOGRAPHS = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _LIST_ITEM = re.compile(r"\s*(?:[-–—•*·◦‣▪●○+]\s+\S|\(\w{1,4}\)\s+\S|\w{1,3}\)\s+\S|\d{1,4}:?\s+\S|[A-Za-z]\.\s+\S)")
 _LEADER = re.compile(r"\.{4,}\s*\S{0,6}\s*$|(?:\.\s){4,}")
 _COLUMNS = [re.compile(r"\s\|\s?|\|\s"), re.compile(r"\t+"), re.compile(r"(?<=\S) {2,}(?=\S)"), re.compile(r"\s;\s")]
+_SEPARATOR = re.compile(r"\s[|;](?=\s)")
 _RULE = re.compile(r"([-=_*~.#+^])\1{7,}")
 _CODE_WORD = re.compile(r"[A-Za-z0-9+/=]{24,}")
 #: A line of this many words isn't taken for a list item.
@@ -75,7 +76,7 @@ def chunk_kind(text: str, common: frozenset[str]) -> str:
         return "prose"
     joined = "\n".join(lines)
     words = _LETTERS.findall(joined)
-    if _junk_share(text, words) > JUNK_SHARE:
+    if _junk_share(_SEPARATOR.sub("  ", text), words) > JUNK_SHARE:
         return "junk"
     total = sum(map(len, lines))
     table = sum(len(x) for x in lines if _columns(x) >= 2 and not x.rstrip().endswith(tuple(SENTENCE_ENDS)) or _columns(x) >= 3)
