@@ -31,7 +31,10 @@ _LEADER = re.compile(r"\.{4,}\s*\S{0,6}\s*$|(?:\.\s){4,}")
 _COLUMNS = [re.compile(r"\s\|\s?|\|\s"), re.compile(r"\t+"), re.compile(r"(?<=\S) {2,}(?=\S)"), re.compile(r"\s;\s")]
 _SEPARATOR = re.compile(r"\s[|;](?=\s)")
 _RULE = re.compile(r"([-=_*~.#+^])\1{7,}")
-_CODE_WORD = re.compile(r"[A-Za-z0-9+/=]{24,}")
+_CODE_WORD = re.compile(r"(?<!\S)[A-Za-z0-9+/=]{24,}(?!\S)")
+_MARK = re.compile(f"[{SENTENCE_ENDS}{CLAUSE_MARKS}]")
+_SPACE = re.compile(r"\s+")
+_SYMBOL = re.compile(r"[^\w\s]|_")
 #: A line of this many words isn't taken for a list item.
 LONG_ITEM = 16
 #: Share of characters no language would have that makes a chunk junk.
@@ -42,15 +45,15 @@ SOUP_WORDS = 18
 
 def _junk_share(text: str, words: list[str]) -> float:
     """Share of the characters other than blanks that no language would have."""
-    solid = [c for c in text if not c.isspace()]
-    if not solid:
+    n = len(_SPACE.sub("", text))
+    if not n:
         return 0.0
-    n = len(solid)
-    symbols = sum(not c.isalnum() for c in solid)
-    broken = sum(c in MOJIBAKE for c in solid)
-    odd = sum(len(w) for w in words if (len(w) >= 9 and len(set(w.lower())) <= 4) or (len(w) >= 24 and not _IDEOGRAPHS.search(w) and _odd_case(w)))
-    odd += sum(len(w) for w in text.split() if _CODE_WORD.fullmatch(w) and _odd_case(w) and len(_LETTERS.findall(w)) != 1)
-    ruled = sum(m.end() - m.start() for m in _RULE.finditer(text))
+    symbols = len(_SYMBOL.findall(text))
+    broken = 0 if text.isascii() else sum(map(MOJIBAKE.__contains__, text))
+    long = [w for w in words if len(w) >= 9]
+    odd = sum(len(w) for w in long if len(set(w.lower())) <= 4 or (len(w) >= 24 and not _IDEOGRAPHS.search(w) and _odd_case(w)))
+    odd += sum(len(w) for w in _CODE_WORD.findall(text) if _odd_case(w) and len(_LETTERS.findall(w)) != 1)
+    ruled = sum(m.end() - m.start() for m in _RULE.finditer(text)) if symbols >= 8 else 0
     return max(symbols / n if symbols > 0.3 * n else 0.0, broken / n * 2, odd / n, ruled / n)
 
 
@@ -89,7 +92,7 @@ def chunk_kind(text: str, common: frozenset[str]) -> str:
     if len(lines) > 1 and table + listed >= 0.6 * total and min(len(items), table) > 0:
         return "table" if table > listed else "list"
     if len(words) >= SOUP_WORDS and not _IDEOGRAPHS.search(joined):
-        marks = sum(c in SENTENCE_ENDS + CLAUSE_MARKS for c in joined)
+        marks = len(_MARK.findall(joined))
         between = sum(len(t) == 1 and not t.isalnum() for t in joined.split())
         known = sum(w.lower() in common for w in words) / len(words)
         if marks + between > 0.55 * len(words) or (marks * 40 <= len(words) and (known > 0.25 or len(words) > 40)):
@@ -117,12 +120,12 @@ def chunk_figures(text: str, common: frozenset[str]) -> tuple:
     lines = [x.strip() for x in text.split("\n") if x.strip()]
     n_ideographs = len(_IDEOGRAPHS.findall(text)) if not text.isascii() else 0
     grams = Counter(zip(lowered, lowered[1:], strict=False))
-    gram, times = max(grams.items(), key=lambda g: (g[1] * (len(g[0][0]) + len(g[0][1]) + 1), g[0]), default=((("", ""), 0)))
+    top_gram = max((n * (len(a) + len(b) + 1) for (a, b), n in grams.items() if n > 1), default=0)
     kind = chunk_kind(text, common)
     return (
-        len(text), len(words), sum(map(len, words)), sum(not (c.isalnum() or c.isspace()) for c in text), n_ideographs,
-        len(lines), sum(x[-1] in SENTENCE_ENDS + ";:,、；：，" for x in lines), sum(w in common for w in lowered),
-        min(len(text), times * (len(gram[0]) + len(gram[1]) + 1)) if times > 1 else 0, len(text) if kind == "list" else 0, len(text) if kind == "table" else 0, len(text) if kind == "junk" else 0, kind,
+        len(text), len(words), sum(map(len, words)), len(_SYMBOL.findall(text)), n_ideographs,
+        len(lines), sum(x[-1] in SENTENCE_ENDS + ";:,、；：，" for x in lines), sum(map(common.__contains__, lowered)),
+        min(len(text), top_gram), len(text) if kind == "list" else 0, len(text) if kind == "table" else 0, len(text) if kind == "junk" else 0, kind,
     )
 
 
