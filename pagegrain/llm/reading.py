@@ -33,20 +33,29 @@ _SENTENCE = re.compile(r"(?:[.!?;:][\"')\]]*\s+|\s*\n\s*)(?=[\"'(\[]*[^\W\d_a-z
 
 
 def words_of(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
+    return _WORD.findall(text.lower())
+
+
+def _typical(sizes: list[int]) -> float:
+    """The middle of sentence lengths, fragments of up to two words aside."""
+    whole = [n for n in sizes if n > 2]
+    return float(median(whole)) if whole else float(max(1, sum(sizes)))
 
 
 def sentence_length(text: str) -> float:
     """The middle of the sentences' lengths in words; fragments of up to two words aside."""
-    sizes = [n for part in _SENTENCE.split(text) if (n := len(_WORD.findall(part))) > 2]
-    return float(median(sizes)) if sizes else float(max(1, len(_WORD.findall(text))))
+    return _typical([len(words_of(part)) for part in _SENTENCE.split(text)])
 
 
 def measure(text: str, familiar: frozenset[str]) -> tuple[float, float]:
     """Share of unfamiliar words, and typical sentence length."""
-    words = words_of(text)
-    unknown = sum(w not in familiar for w in words) / len(words) if words else 0.0
-    return unknown, sentence_length(text)
+    sizes, known = [], 0
+    for part in _SENTENCE.split(text):
+        words = words_of(part)
+        sizes.append(len(words))
+        known += sum(map(familiar.__contains__, words))
+    total = sum(sizes)
+    return (1 - known / total if total else 0.0), _typical(sizes)
 
 
 def familiar_words(texts: DataFrame, text_col: str, share: float = FAMILIAR_SHARE) -> frozenset[str]:
