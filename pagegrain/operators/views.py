@@ -80,6 +80,10 @@ def page_json(chunks: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def document_json(page_jsons: DataFrame) -> DataFrame:
-    """``doc_id, json``: a document's pages in order."""
+    """``doc_id, json``: a document's pages in order.
+
+    The result holds a whole document in one value, at most 2 GB; for larger ones
+    keep to the rows of ``page_json``.
+    """
     pages = page_jsons.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "json"))).alias("ps"))
     return pages.select("doc_id", F.concat(F.lit('{"pages":['), F.array_join(F.transform("ps", lambda p: p["json"]), ","), F.lit("]}")).alias("json"))

@@ -10,9 +10,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side may be broadcast up to this many bytes; beyond it the join is shuffled.
-BROADCAST_LIMIT_BYTES = 32 << 20
-
 _local_scratch: str | None = None
 
 
