@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagegrain.functions import geometry as g
 from pagegrain.functions import text as t
+from pagegrain.runtime import distinct_by, unnest
 
 PAGE = ["doc_id", "page_number"]
 #: Fixed values of the extraction.
@@ -24,7 +25,7 @@ BACKGROUND_WITH_TEXT, BACKGROUND_COVERAGE = 0.65, 0.55
 
 def distinct_pages(raw: DataFrame) -> DataFrame:
     """Each page once, repeated deliveries left out; which of unequal ones stays isn't defined."""
-    return raw.dropDuplicates(PAGE)
+    return distinct_by(raw, PAGE)
 
 
 def _array(column: str) -> Column:
@@ -181,7 +182,7 @@ ATOM_FIELDS = ["type", "bbox", "content", "content_raw", "content_tagged", "mime
 def extract_atoms(raw: DataFrame, include_table_base64: bool = True, include_image_base64: bool = True, skip_background_images: bool = True) -> DataFrame:
     """One row for each atom: page, ``atom_no`` (its place in reading order), ATOM_FIELDS and its places on the page."""
     pages = page_atoms(raw, include_table_base64, include_image_base64, skip_background_images)
-    rows = pages.select(*PAGE, "width", "height", F.posexplode("atoms").alias("atom_no", "a"))
+    rows = unnest(pages, [*PAGE, "width", "height"], "atoms", "atom_no", "a")
     return rows.select(
         *PAGE, "atom_no", *(F.col(f"a.{c}").alias(c) for c in ATOM_FIELDS),
         g.normalized_position(F.col("a.bbox"), F.col("width"), F.col("height")).alias("position_normalized"), g.normalized_size(F.col("a.bbox"), F.col("width"), F.col("height")).alias("size_normalized"),

@@ -8,9 +8,9 @@ expressions (``operators.intervals``); tests hold both against each other.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pagegrain.functions import geometry as g
 from pagegrain.operators.atoms import ATOM_FIELDS, PAGE
 from pagegrain.operators.intervals import BALANCE_WEIGHT, GAP_WEIGHT, MIN_GAP
+from pagegrain.runtime import unnest
 
 #: Levels that may be cut, the share of a box its region must hold, and the least extent of a region.
 DEEPEST_CUT, HELD_SHARE, MIN_EXTENT = 12, 0.8, 1.0
@@ -28,101 +29,108 @@ NODE = f"struct<path:string,parent_path:string,depth:int,ordinal:int,n_siblings:
 
 
 class PageBoxes:
-    """The boxes of one page, as arrays, in reading order."""
+    """The boxes of one page, side by side, in reading order.
 
-    def __init__(self, sides: np.ndarray):
-        self.low, self.high = sides[:2], sides[2:]  # rows: x, y
-        self.size = np.maximum(0.0, self.high - self.low)
-        self.area = self.size[0] * self.size[1]
-        self.middle = (self.low + self.high) / 2.0
+    Pages hold few boxes, so plain lists are faster here than arrays; a cut takes
+    sorting, not a look at every box for every gap, so large pages are no burden.
+    """
+
+    def __init__(self, sides: list[list[float]]):
+        self.low, self.high = sides[:2], sides[2:]  # x, y
+        self.middle = [[(a + b) / 2.0 for a, b in zip(self.low[k], self.high[k], strict=True)] for k in (0, 1)]
+        self.area = [max(0.0, x1 - x0) * max(0.0, y1 - y0) for x0, y0, x1, y1 in zip(*sides, strict=True)]
 
-    def best_cut(self, members: np.ndarray, region: np.ndarray) -> tuple[int, float, float] | None:
+    def best_cut(self, members: list[int], region: list[float]) -> tuple[int, float, float] | None:
         """Axis (0: left and right), begin and end of the best cut of a region, if there is one."""
         best: tuple[float, int, float, float] | None = None
-        for axis, name in ((0, "vertical"), (1, "horizontal")):
-            a, b = region[axis], region[axis + 2]
-            extent = max(0.0, b - a)
-            start = np.maximum(a, self.low[axis, members])
-            end = np.minimum(b, self.high[axis, members])
-            filled = end > start
-            if extent <= 0 or not filled.any():
+        for axis, least in ((0, MIN_GAP["vertical"]), (1, MIN_GAP["horizontal"])):
+            begin, end = region[axis], region[axis + 2]
+            extent = max(0.0, end - begin)
+            if extent <= 0:
                 continue
-            order = np.argsort(start[filled], kind="stable")
-            start, reach = start[filled][order], np.maximum.accumulate(end[filled][order])
-            begins, ends = np.append(a, np.maximum(reach, a)), np.append(start, b)
-            middles = self.middle[axis, members]
-            for s, e in zip(begins.tolist(), ends.tolist(), strict=True):
-                if e <= s or (e - s) / extent < MIN_GAP[name]:
-                    continue
-                first = int((middles <= (s + e) / 2.0).sum())
-                second = len(members) - first
-                if not first or not second:
-                    continue
-                score = (e - s) / extent * GAP_WEIGHT + min(first, second) / max(first, second) * BALANCE_WEIGHT
-                if best is None or score > best[0]:
-                    best = score, axis, s, e
+            low, high = self.low[axis], self.high[axis]
+            spans = [(s, e) for i in members if (e := min(end, high[i])) > (s := max(begin, low[i]))]
+            if not spans:
+                continue
+            spans.sort()
+            spans.append((end, end))
+            middles: list[float] = []
+            reach = begin
+            for s, e in spans:
+                if s > reach and (s - reach) / extent >= least:
+                    middles = middles or sorted(map(self.middle[axis].__getitem__, members))
+                    first = bisect_right(middles, (reach + s) / 2.0)
+                    second = len(middles) - first
+                    if first and second:
+                        score = (s - reach) / extent * GAP_WEIGHT + min(first, second) / max(first, second) * BALANCE_WEIGHT
+                        if best is None or score > best[0]:
+                            best = score, axis, reach, s
+                reach = max(reach, e)
         return best[1:] if best else None
 
-    def held(self, members: np.ndarray, region: np.ndarray) -> np.ndarray:
+    def held(self, members: list[int], region: list[float]) -> list[int]:
         """Members of which the region holds enough."""
-        low = np.maximum(self.low[:, members], region[:2, None])
-        high = np.minimum(self.high[:, members], region[2:, None])
-        meet = (self.high[:, members] > region[:2, None]).all(0) & (self.low[:, members] < region[2:, None]).all(0)
-        common = np.maximum(0.0, high - low).prod(axis=0)
-        return members[meet & (common / np.maximum(self.area[members], 1e-6) >= HELD_SHARE)]
+        (x0, y0), (x1, y1) = self.low, self.high
+        left, top, right, bottom = region
+        out = []
+        for i in members:
+            if x1[i] > left and x0[i] < right and y1[i] > top and y0[i] < bottom:
+                common = max(0.0, min(x1[i], right) - max(x0[i], left)) * max(0.0, min(y1[i], bottom) - max(y0[i], top))
+                if common / max(self.area[i], 1e-6) >= HELD_SHARE:
+                    out.append(i)
+        return out
 
 
-def cut_page(rect: np.ndarray, sides: np.ndarray) -> list[dict]:
-    """The nodes of a page's tree in pre-order; ``sides`` has rows x0, y0, x1, y1, boxes in reading order.
+def cut_page(rect: list[float], sides: list[list[float]]) -> list[dict]:
+    """The nodes of a page's tree in pre-order; ``sides`` has the lists x0, y0, x1, y1, boxes in reading order.
 
     A region with a cut whose two sides hold boxes becomes a group of two; any
     other of several boxes a vertical group of them all, and one box is a leaf.
     """
     boxes = PageBoxes(sides)
     nodes: list[dict] = []
-    n = sides.shape[1]
-    if not n:
+    if not sides[0]:
         return nodes
     # region, members, path, depth, ordinal, siblings, layout of the parent
-    todo = [(rect, np.arange(n), "0000", 0, 0, 1, None)]
+    todo: list[tuple] = [(rect, list(range(len(sides[0]))), "0000", 0, 0, 1, None)]
     while todo:
         region, members, path, depth, ordinal, siblings, above = todo.pop()
         node = {"path": path, "parent_path": path[:-5], "depth": depth, "ordinal": ordinal, "n_siblings": siblings, "parent_layout": above, "layout": None, "atom_no": None}
         nodes.append(node)
         if len(members) == 1:
-            node["atom_no"] = int(members[0])
+            node["atom_no"] = members[0]
             continue
         halves = _halves(boxes, members, region) if depth <= DEEPEST_CUT else None
         if halves:
             node["layout"], parts = halves
         else:
-            node["layout"], parts = "vertical", [(region, members[k : k + 1]) for k in range(len(members))]
+            node["layout"], parts = "vertical", [(region, [i]) for i in members]
         for k in range(len(parts) - 1, -1, -1):
             todo.append((*parts[k], f"{path}.{k:04d}", depth + 1, k, len(parts), node["layout"]))
     _hulls(nodes, sides)
     return nodes
 
 
-def _halves(boxes: PageBoxes, members: np.ndarray, region: np.ndarray) -> tuple[str, list] | None:
+def _halves(boxes: PageBoxes, members: list[int], region: list[float]) -> tuple[str, list] | None:
     cut = boxes.best_cut(members, region)
     if cut is None:
         return None
     axis, start, end = cut
-    before, behind = region.copy(), region.copy()
+    before, behind = list(region), list(region)
     before[axis + 2], behind[axis] = start, end
     parts = []
     for part in (before, behind):
-        if part[axis + 2] - part[axis] > MIN_EXTENT and len(inside := boxes.held(members, part)):
+        if part[axis + 2] - part[axis] > MIN_EXTENT and (inside := boxes.held(members, part)):
             parts.append((part, inside))
     return ("vertical" if axis else "horizontal", parts) if len(parts) == 2 else None
 
 
-def _hulls(nodes: list[dict], sides: np.ndarray) -> None:
+def _hulls(nodes: list[dict], sides: list[list[float]]) -> None:
     """Boxes of the leaves, and of each group around its own."""
     hull: dict[str, list[float]] = {}
     for node in reversed(nodes):  # children come after their parent
         if node["atom_no"] is not None:
-            hull[node["path"]] = sides[:, node["atom_no"]].tolist()
+            hull[node["path"]] = [side[node["atom_no"]] for side in sides]
         b = hull[node["path"]]
         node["bbox"] = dict(zip(g.SIDES, b, strict=True))
         if node["depth"]:
@@ -134,14 +142,14 @@ def _trees(pages: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     for rects, x0, y0, x1, y1 in pages:
         out = []
         for rect, *sides in zip(rects, x0, y0, x1, y1, strict=True):
-            out.append(cut_page(np.asarray(rect, dtype=float), np.array([np.asarray(s, dtype=float) for s in sides])))
+            out.append(cut_page(rect.tolist(), [side.tolist() for side in sides]))
         yield pd.Series(out, dtype=object)
 
 
 def tree_nodes(rect: Column, boxes: Column) -> Column:
     """The nodes of a page (array of NODE) from its rect and the boxes of its atoms in reading order."""
     side = lambda s: F.transform(boxes, lambda b: b[s])
-    trees = F.pandas_udf(_trees, f"array<{NODE}>")
+    trees = F.pandas_udf(_trees, f"array<{NODE}>").asNondeterministic()  # else the planner may run it twice
     return trees(F.array(*(rect[s] for s in g.SIDES)), *(side(s) for s in g.SIDES))
 
 
@@ -193,7 +201,7 @@ def chunk_rows(pages: DataFrame, grouped: bool = True) -> DataFrame:
     pages = pages.withColumn("__m", middles)
     pages = pages.withColumn("__bx", zone_breaks(F.transform("__m", lambda m: m["x"]), ZONE_GAP_X)).withColumn("__by", zone_breaks(F.transform("__m", lambda m: m["y"]), ZONE_GAP_Y))
     paired = F.transform("nodes", lambda n: F.struct(n.alias("n"), F.get(F.col("atoms"), n["atom_no"]).alias("a")))
-    rows = pages.select(*PAGE, "width", "height", "__bx", "__by", F.posexplode(paired).alias("chunk_index", "p"))
+    rows = unnest(pages, [*PAGE, "width", "height", "__bx", "__by"], paired, "chunk_index", "p")
     rows = rows.select(*PAGE, "width", "height", "__bx", "__by", "chunk_index", "p.n", "p.a").withColumn("m", g.normalized_position(F.col("n.bbox"), w, h))
     dynamic = dynamic_position(F.col("m.x"), F.col("m.y"), F.col("__bx"), F.col("__by"))
     kept = ["content", "content_raw", "content_tagged", "mime_type"]

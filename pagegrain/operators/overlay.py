@@ -111,7 +111,7 @@ def render_svg(chunks: DataFrame, pages: DataFrame, zoom: float = 2.0, show_labe
     both = sizes.join(grouped, PAGE, "left").withColumn("cs", F.coalesce("cs", F.array().cast(grouped.schema["cs"].dataType)))
     numbers = lambda b: F.array(*(b[s] for s in g.SIDES))
     both = both.withColumn("places", F.transform("cs", lambda c: candidates(c["box"], label_width(c["label"]), c["type"] == "group", F.col("w"), F.col("h"), zoom)))
-    both = both.withColumn("chosen", F.pandas_udf(_placed, "array<int>")(F.flatten(F.transform("cs", lambda c: numbers(c["box"]))), F.flatten(F.transform("places", lambda o: F.flatten(F.transform(o, lambda p: numbers(p["rect"])))))))
+    both = both.withColumn("chosen", F.pandas_udf(_placed, "array<int>").asNondeterministic()(F.flatten(F.transform("cs", lambda c: numbers(c["box"]))), F.flatten(F.transform("places", lambda o: F.flatten(F.transform(o, lambda p: numbers(p["rect"])))))))
     text = lambda *parts: F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
 
     def element(c: Column, i: Column) -> Column:

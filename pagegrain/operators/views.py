@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.operators.atoms import PAGE
+from pagegrain.runtime import distinct_by
 
 KINDS = ("text", "image", "table", "group")
 TEXTS = {"clean": "content", "raw": "content_raw", "tagged": "content_tagged"}
@@ -13,7 +14,7 @@ TEXTS = {"clean": "content", "raw": "content_raw", "tagged": "content_tagged"}
 
 def distinct_chunks(chunks: DataFrame) -> DataFrame:
     """Each chunk once; repeated deliveries differ in nothing a view shows."""
-    return chunks.dropDuplicates([*PAGE, "path"])
+    return distinct_by(chunks, [*PAGE, "path"])
 
 
 def of_kind(chunks: DataFrame, kind: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pagegrain.functions import geometry as g
 from pagegrain.functions import text as t
 from pagegrain.operators import atoms, intervals, layout, nested, overlay, views
 from pagegrain.plans import fixtures, oracle, parse
-from pagegrain.runtime import table
+from pagegrain.runtime import table, unnest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,7 +166,7 @@ def base64_payload(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def image_signature(spark: SparkSession, d: str) -> DataFrame:
-    rows = _images(spark, d).select("doc_id", "page_number", F.explode("image_list").alias("i"))
+    rows = _images(spark, d).transform(_listed, "image_list", "i")
     return rows.select("doc_id", "page_number", F.col("i.no").alias("block_no"), F.col("i.signature").alias("signature"), F.when(F.col("i.content").isNotNull(), F.concat(F.lit("image/"), F.col("i.ext"))).alias("mime_type"))
 
 
@@ -180,6 +180,10 @@ def chunk_label(spark: SparkSession, d: str) -> DataFrame:
 # --- atoms, over raw pages
 
 
+def _listed(pages: DataFrame, name: str, element: str) -> DataFrame:
+    return unnest(pages, ["doc_id", "page_number"], name, "at", element)
+
+
 def _tables(spark: SparkSession, d: str) -> DataFrame:
     return atoms.padded_tables(_raw(spark, d))
 
@@ -190,18 +194,18 @@ def _images(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def table_pad(spark: SparkSession, d: str) -> DataFrame:
-    return _tables(spark, d).select("doc_id", "page_number", F.explode("table_list").alias("t")).select("doc_id", "page_number", F.col("t.no").alias("table_no"), *_sides("t.bbox"))
+    return _tables(spark, d).transform(_listed, "table_list", "t").select("doc_id", "page_number", F.col("t.no").alias("table_no"), *_sides("t.bbox"))
 
 
 @query
 def table_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return atoms.with_tables(_raw(spark, d)).select("doc_id", "page_number", F.explode("table_list").alias("t")).select("doc_id", "page_number", F.col("t.no").alias("table_no"), *_sides("t.bbox"))
+    return atoms.with_tables(_raw(spark, d)).transform(_listed, "table_list", "t").select("doc_id", "page_number", F.col("t.no").alias("table_no"), *_sides("t.bbox"))
 
 
 @query
 def text_table_antijoin(spark: SparkSession, d: str) -> DataFrame:
     pages = atoms.with_texts(atoms.with_tables(atoms.with_sizes(_raw(spark, d))))
-    return pages.select("doc_id", "page_number", F.explode("text_list").alias("x")).select("doc_id", "page_number", F.col("x.no").alias("block_no"), "x.content")
+    return pages.transform(_listed, "text_list", "x").select("doc_id", "page_number", F.col("x.no").alias("block_no"), "x.content")
 
 
 def _image_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -224,7 +228,7 @@ def background_images(spark: SparkSession, d: str) -> DataFrame:
 @query
 def image_dedupe(spark: SparkSession, d: str) -> DataFrame:
     pages = atoms.with_images(atoms.with_text_boxes(_raw(spark, d)))
-    return pages.select("doc_id", "page_number", F.explode("image_list").alias("i")).select("doc_id", "page_number", F.col("i.no").alias("block_no"), *_sides("i.bbox"), "i.signature")
+    return pages.transform(_listed, "image_list", "i").select("doc_id", "page_number", F.col("i.no").alias("block_no"), *_sides("i.bbox"), "i.signature")
 
 
 @query
@@ -235,7 +239,7 @@ def atom_union(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
-    rows = atoms.page_atoms(_raw(spark, d)).select("doc_id", "page_number", F.posexplode("atoms").alias("atom_no", "a"))
+    rows = unnest(atoms.page_atoms(_raw(spark, d)), ["doc_id", "page_number"], "atoms", "atom_no", "a")
     return rows.select("doc_id", "page_number", "atom_no", "a.type", F.col("a.k3").alias("source_no"))
 
 
@@ -282,7 +286,7 @@ def _gaps(spark: SparkSession, d: str) -> DataFrame:
 
 def _both_axes(pages: DataFrame, name: str) -> DataFrame:
     both = F.array(*(F.struct(F.lit(short).alias("axis"), F.col(f"{name}_{axis}").alias("l")) for axis, short in (("vertical", "x"), ("horizontal", "y"))))
-    return pages.select("page", F.explode(both).alias("a")).select("page", "a.axis", F.explode("a.l").alias("i")).select("page", "axis", "i.s", "i.e")
+    return unnest(unnest(pages, ["page"], both, "at", "a"), ["page", "a.axis"], "a.l", "at", "i").select("page", "axis", "i.s", "i.e")
 
 
 @query
@@ -298,7 +302,7 @@ def find_gaps(spark: SparkSession, d: str) -> DataFrame:
 @query
 def split_scores(spark: SparkSession, d: str) -> DataFrame:
     both = F.array(*(F.struct(F.lit(axis).alias("axis"), F.col(f"scored_{axis}").alias("l")) for axis in ("vertical", "horizontal")))
-    return _gaps(spark, d).select("page", F.explode(both).alias("a")).select("page", "a.axis", F.explode("a.l").alias("i")).select("page", "axis", "i.s", "i.e", "i.first", "i.second", "i.score")
+    return unnest(unnest(_gaps(spark, d), ["page"], both, "at", "a"), ["page", "a.axis"], "a.l", "at", "i").select("page", "axis", "i.s", "i.e", "i.first", "i.second", "i.score")
 
 
 @query
@@ -316,7 +320,7 @@ def region_members(spark: SparkSession, d: str) -> DataFrame:
 
 def _box_nodes(spark: SparkSession, d: str) -> DataFrame:
     pages = _box_pages(spark, d).withColumn("nodes", layout.tree_nodes(F.col("rect"), F.col("bs")))
-    rows = pages.select("page", "ids", F.posexplode("nodes").alias("chunk_index", "n"))
+    rows = unnest(pages, ["page", "ids"], "nodes", "chunk_index", "n")
     return rows.select("page", "chunk_index", "n.*", F.get(F.col("ids"), F.col("n.atom_no")).alias("id"))
 
 
@@ -349,7 +353,7 @@ def _zoned(spark: SparkSession, d: str) -> DataFrame:
     pages = _box_pages(spark, d).withColumn("nodes", layout.tree_nodes(F.col("rect"), F.col("bs")))
     pages = pages.withColumn("ms", F.transform("nodes", lambda n: g.normalized_position(n["bbox"], F.col("width"), F.col("height"))))
     pages = pages.withColumn("bx", layout.zone_breaks(F.transform("ms", lambda m: m["x"]), layout.ZONE_GAP_X)).withColumn("by", layout.zone_breaks(F.transform("ms", lambda m: m["y"]), layout.ZONE_GAP_Y))
-    rows = pages.select("page", "bx", "by", F.explode(F.arrays_zip("nodes", "ms")).alias("z"))
+    rows = unnest(pages, ["page", "bx", "by"], F.arrays_zip("nodes", "ms"), "at", "z")
     return rows.select("page", F.col("z.nodes.path").alias("path"), layout.dynamic_position(F.col("z.ms.x"), F.col("z.ms.y"), F.col("bx"), F.col("by")).alias("p")).select("page", "path", "p.*")
 
 

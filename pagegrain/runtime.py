@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_scratch: str | None = None
@@ -66,3 +66,22 @@ def small_side(df: DataFrame, rows_bound: int) -> DataFrame:
     if df.limit(rows_bound + 1).count() <= rows_bound:
         return F.broadcast(df)
     return df
+
+
+def unnest(df: DataFrame, keep: list, array: str | Column, position: str, value: str) -> DataFrame:
+    """One row for each element of a computed array, with its position.
+
+    A plain explode makes the planner add a filter on the array's size below it,
+    which computes the array a second time; this form keeps it to once.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(position, value))
+    return rows.where(F.col(position).isNotNull())
+
+
+def distinct_by(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key; which of several stays isn't defined.
+
+    Wide rows can't be merged in a hash table, so a plain ``dropDuplicates`` sorts
+    them before the shuffle and again after it; shuffled first they are sorted once.
+    """
+    return df.repartition(*keys).dropDuplicates(keys)

@@ -14,12 +14,12 @@ from pagegrain.operators import atoms, intervals, layout, nested, overlay, views
 from pagegrain.plans import parse
 from pagegrain.sources import raw as sources
 
-RECT = np.array([0.0, 0.0, 600.0, 800.0])
+RECT = [0.0, 0.0, 600.0, 800.0]
 BLOCK = {"block_no": 0, "type": 0, "bbox": None, "lines": None, "ext": None, "width": None, "height": None, "image": None}
 
 
 def cut(*boxes):
-    return layout.cut_page(RECT, np.array(boxes, dtype=float).T.reshape(4, -1))
+    return layout.cut_page(RECT, [[float(b[k]) for b in boxes] for k in range(4)])
 
 
 def text_block(no, bbox, text="words"):
@@ -40,13 +40,13 @@ def types(pages):
 
 
 def test_empty_page_and_lone_box():
-    assert layout.cut_page(RECT, np.zeros((4, 0))) == []
+    assert layout.cut_page(RECT, [[], [], [], []]) == []
     (node,) = cut((10, 10, 20, 20))
     assert node["path"] == "0000" and node["parent_layout"] is None
 
 
 def test_equal_scores_cut_upright():
-    nodes = layout.cut_page(np.array([0.0, 0.0, 600.0, 600.0]), np.array([[0, 0, 200, 200], [400, 400, 600, 600]], dtype=float).T)
+    nodes = layout.cut_page([0.0, 0.0, 600.0, 600.0], [[0.0, 400.0], [0.0, 400.0], [200.0, 600.0], [200.0, 600.0]])
     assert nodes[0]["layout"] == "horizontal"
 
 
@@ -66,7 +66,7 @@ def test_cuts_end_at_the_depth_bound():
     for _ in range(15):
         boxes.append((0, low, 10, low + (height - low) * 0.45))
         low += (height - low) * 0.5
-    nodes = layout.cut_page(np.array([0.0, 0.0, 10.0, height]), np.array(boxes).T)
+    nodes = layout.cut_page([0.0, 0.0, 10.0, height], np.array(boxes).T.tolist())
     assert max(n["depth"] for n in nodes) == 14 and sum(n["atom_no"] is not None for n in nodes) == 15
 
 
@@ -105,8 +105,8 @@ def test_kernel_and_expressions_cut_alike(spark):
         df = df.withColumn(axis, intervals.gaps(F.col(axis), F.lit(0.0), F.lit(end))).withColumn(axis, intervals.scored(F.col("bs"), F.col(axis), F.lit(end), axis))
     got = {r.page: r.c and (0 if r.c.axis == "vertical" else 1, r.c.s, r.c.e) for r in df.select("page", intervals.best_cut(F.col("vertical"), F.col("horizontal")).alias("c")).collect()}
     for k, bs in pages:
-        sides = np.array([[b[s] for b in bs] for s in g.SIDES])
-        assert layout.PageBoxes(sides).best_cut(np.arange(len(bs)), RECT) == got[k]
+        sides = [[b[s] for b in bs] for s in g.SIDES]
+        assert layout.PageBoxes(sides).best_cut(list(range(len(bs))), RECT) == got[k]
 
 
 def test_geometry_edges(spark):
