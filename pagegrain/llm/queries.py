@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegrain.llm import confusables, mixing, packing, quality, reading, sitelines, splitting, tokens
-from pagegrain.runtime import materialize, table
+from pagegrain.runtime import distinct_by, materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _distinct_texts(spark: SparkSession, d: str) -> DataFrame:
-    return _texts(spark, d).dropDuplicates(["chunk_id"])
+    return distinct_by(_texts(spark, d).select("chunk_id", "content"), ["chunk_id"])
 
 
 # 1: look-alike texts

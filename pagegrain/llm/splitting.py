@@ -35,8 +35,11 @@ _COST = {"paragraph": PARAGRAPH, "sentence": SENTENCE, "clause": CLAUSE, "line":
 _BLANKS = re.compile(r"\s+")
 
 
-def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where ``text`` may be cut, ascending, from 0 to its length; and their penalties."""
+def boundaries(text: str, limit: int, everywhere: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Positions where ``text`` may be cut, ascending, from 0 to its length; and their penalties.
+
+    With ``everywhere`` any position between two characters is one.
+    """
     at, cost = [0], [0.0]
     for m in _STRONG.finditer(text):
         if m.end() < len(text):
@@ -45,7 +48,7 @@ def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
     at.append(len(text))
     cost.append(0.0)
     for finer, penalty in ((_BLANKS, WORD), (None, NONE)):
-        gap = limit * WIDE_GAP
+        gap = 1 if everywhere else limit * WIDE_GAP
         more: list[int] = []
         for a, b in zip(at[:-1], at[1:], strict=True):
             if b - a > gap:
@@ -53,7 +56,7 @@ def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
                     more += [m.end() for m in finer.finditer(text, a, b) if a < m.end() < b]
                 else:
                     step = max(1, int(gap // 2))
-                    more += [_whole(text, p) for p in range(a + step, b, step)]
+                    more += [p if everywhere else _whole(text, p) for p in range(a + step, b, step)]
         if more:
             merged = dict(zip(more, [penalty] * len(more), strict=True)) | dict(zip(at, cost, strict=True))
             at = sorted(merged)
@@ -76,7 +79,17 @@ def cuts(text: str, limit: int, overlap: int) -> list[int]:
         return [n]
     fresh = limit - overlap
     even = (n - overlap) / -(-(n - overlap) // fresh)
-    at, cost = boundaries(text, limit)
+    for everywhere in (False, True):  # the latter where the candidates leave no way, as with little fresh text in a piece
+        at, cost = boundaries(text, limit, everywhere)
+        ends = _cheapest(at, cost, limit, overlap, even)
+        if ends:
+            return ends
+    raise AssertionError("unreachable: any text can be cut between characters")
+
+
+def _cheapest(at: np.ndarray, cost: np.ndarray, limit: int, overlap: int, even: float) -> list[int]:
+    """The cheapest choice of cuts; empty if none keeps the limit."""
+    fresh = limit - overlap
     best = np.full(len(at), np.inf)
     back = np.zeros(len(at), dtype=np.int64)
     places = at.tolist()
@@ -94,6 +107,8 @@ def cuts(text: str, limit: int, overlap: int) -> list[int]:
             if first <= best[j]:
                 best[j], back[j] = first, 0
         best[j] += cost[j]
+    if not np.isfinite(best[-1]):
+        return []
     ends, j = [], len(at) - 1
     while j:
         ends.append(places[j])
