@@ -217,7 +217,23 @@ extents AS (SELECT *, CASE axis WHEN 'x' THEN 612::DOUBLE ELSE 792::DOUBLE END A
 scored AS (SELECT page, CASE axis WHEN 'x' THEN 'vertical' ELSE 'horizontal' END AS axis, s, e, f::INTEGER AS first, (n - f)::INTEGER AS second, (e - s) / extent * 0.7::DOUBLE + least(f, n - f)::DOUBLE / greatest(f, n - f)::DOUBLE * 0.3::DOUBLE AS score
   FROM extents WHERE (e - s) / extent >= least_gap AND f > 0 AND f < n)"""
 
+
+
+def _elements(value: str) -> str:
+    """The elements of a JSON array; an object alone counts as an array of one."""
+    return f"(CASE json_type({value}) WHEN 'ARRAY' THEN json_extract({value}, '$[*]') WHEN 'OBJECT' THEN [{value}] ELSE [] END)"
+
+
+_RECORDS = f"""WITH RECURSIVE valid AS (SELECT record_id, body::JSON AS j FROM page_records WHERE body IS NOT NULL AND json_valid(body)),
+record_pages AS (SELECT record_id, unnest({_elements("(j->'pages')")}) AS p FROM valid WHERE json_type(j) = 'OBJECT'),
+tops AS (SELECT record_id, (p->>'page_number')::INTEGER AS page_number, {_elements("(p->'chunks')")} AS kids FROM record_pages WHERE json_type(p) = 'OBJECT'),
+walk AS (SELECT record_id, page_number, lpad((i - 1)::VARCHAR, 4, '0') AS node_path, '' AS parent_path, n FROM (SELECT record_id, page_number, unnest(kids) AS n, generate_subscripts(kids, 1) AS i FROM tops)
+UNION ALL SELECT record_id, page_number, node_path || '.' || lpad((i - 1)::VARCHAR, 4, '0'), node_path, c FROM (SELECT record_id, page_number, node_path, unnest(kids) AS c, generate_subscripts(kids, 1) AS i
+  FROM (SELECT record_id, page_number, node_path, {_elements("(n->'children')")} AS kids FROM walk WHERE json_type(n) = 'OBJECT')))"""
+
 ORACLES: dict[str, str] = {
+    # nested records
+    "p6_found": f"{_RECORDS} SELECT record_id, page_number, node_path, parent_path FROM walk WHERE json_type(n) = 'OBJECT'",
     # geometry
     "bbox_measures": f"WITH {BOXES} SELECT page, id, {w('boxes')} AS width, {h('boxes')} AS height, {area('boxes')} AS area, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM boxes",
     "bbox_union": f"WITH {BOXES} SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM boxes GROUP BY page",
