@@ -138,7 +138,7 @@ def figures(chunks: DataFrame, common_words: DataFrame, id_col: str = "chunk_id"
     ``common_words`` is a small fixed table of frequent words. Repeats of an id
     count once.
     """
-    common = frozenset(r[0].lower() for r in common_words.select("word").where("word is not null").distinct().limit(100_000).collect())
+    common = frozenset(r[0].lower() for r in common_words.select("word").where("word is not null").distinct().collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,7 +9,7 @@ from pagegrain.llm.splitting import pieces, split_oversized
 part = st.sampled_from(["word ", "a", "Sentence ends. ", "\n", "\n\n", "中文。", "é", ", ", "x" * 37, " ", "😀"])
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=120, deadline=None)
 @given(st.lists(part, max_size=120).map("".join), st.integers(12, 60), st.integers(0, 11))
 def test_rules(text, limit, overlap):
     got = pieces(text, limit, overlap)
