@@ -190,7 +190,7 @@ def extract_atoms(raw: DataFrame, include_table_base64: bool = True, include_ima
     )
 
 
-def page_counts(pages: DataFrame) -> DataFrame:
-    """The page's size and its atoms by kind, before any grouping."""
+def page_counts(pages: DataFrame, *more: str) -> DataFrame:
+    """The page's size and its atoms by kind, before any grouping; and columns to keep."""
     count = lambda kind: F.size(F.filter("atoms", lambda a: a["type"] == kind)).alias(f"{kind}_atom_count")
-    return pages.select(*PAGE, "width", "height", F.size("atoms").alias("atom_count"), *(count(k) for k in ("text", "image", "table")))
+    return pages.select(*PAGE, "width", "height", F.size("atoms").alias("atom_count"), *(count(k) for k in ("text", "image", "table")), *more)

@@ -25,6 +25,7 @@ DEEPEST_CUT, HELD_SHARE, MIN_EXTENT = 12, 0.8, 1.0
 #: Distances of middles, in parts of the page, that begin a new zone.
 ZONE_GAP_X, ZONE_GAP_Y = 0.08, 0.07
 
+ZONES = "struct<x_zone:int,x_zone_count:int,y_zone:int,y_zone_count:int>"
 NODE = f"struct<path:string,parent_path:string,depth:int,ordinal:int,n_siblings:int,parent_layout:string,layout:string,atom_no:int,bbox:{g.BOX}>"
 
 
@@ -190,26 +191,42 @@ def grouped_nodes(pages: DataFrame) -> DataFrame:
     return pages.withColumn("nodes", tree_nodes(F.col("rect"), F.transform("atoms", lambda a: a["bbox"])))
 
 
+def chunk_fields(n: Column, a: Column, index: Column, page: dict[str, Column], grouped: bool) -> list[Column]:
+    """The columns of a chunk from its node, its atom (null for a group), its place in pre-order and its page's columns."""
+    w, h, bbox = page["width"], page["height"], n["bbox"]
+    middle = g.normalized_position(bbox, w, h)
+    dynamic = dynamic_position(middle["x"], middle["y"], page["x_breaks"], page["y_breaks"]) if grouped else F.lit(None).cast(ZONES)
+    debug = F.when(a.isNotNull(), F.struct(*(a[c].alias(c) for c in ATOM_FIELDS[6:]), F.lit(None).cast("string").alias("dropped_reason")))
+    return [
+        *(n[c].alias(c) for c in ("path", "parent_path", "depth", "ordinal")), index.alias("chunk_index"), F.coalesce(a["type"], F.lit("group")).alias("type"), n["layout"].alias("layout"), bbox.alias("bbox"),
+        *(a[c].alias(c) for c in ("content", "content_raw", "content_tagged", "mime_type")), middle.alias("position_normalized"), g.normalized_size(bbox, w, h).alias("size_normalized"),
+        g.coarse_position(bbox, w, h).alias("absolute_position_coarse"), dynamic.alias("absolute_position_dynamic"), relative_position(n["ordinal"], n["n_siblings"], n["parent_layout"]).alias("relative_position"), debug.alias("debug"),
+    ]
+
+
+def _paired(pages: DataFrame) -> DataFrame:
+    """Adds ``__pairs`` (each node with its atom) and the zone breaks of the page."""
+    middles = F.transform("nodes", lambda n: g.normalized_position(n["bbox"], F.col("width"), F.col("height")))
+    pages = pages.withColumn("__m", middles)
+    pages = pages.withColumn("x_breaks", zone_breaks(F.transform("__m", lambda m: m["x"]), ZONE_GAP_X)).withColumn("y_breaks", zone_breaks(F.transform("__m", lambda m: m["y"]), ZONE_GAP_Y))
+    return pages.drop("__m").withColumn("__pairs", F.transform("nodes", lambda n: F.struct(n.alias("n"), F.get(F.col("atoms"), n["atom_no"]).alias("a"))))
+
+
+_PAGE_COLUMNS = ["width", "height", "x_breaks", "y_breaks"]
+
+
 def chunk_rows(pages: DataFrame, grouped: bool = True) -> DataFrame:
     """The node table of pages with ``nodes`` and ``atoms``: one row for each group and leaf.
 
     ``chunk_index`` is the place in pre-order. Without grouping no zones and no
     relative places are given.
     """
-    w, h = F.col("width"), F.col("height")
-    middles = F.transform("nodes", lambda n: g.normalized_position(n["bbox"], w, h))
-    pages = pages.withColumn("__m", middles)
-    pages = pages.withColumn("__bx", zone_breaks(F.transform("__m", lambda m: m["x"]), ZONE_GAP_X)).withColumn("__by", zone_breaks(F.transform("__m", lambda m: m["y"]), ZONE_GAP_Y))
-    paired = F.transform("nodes", lambda n: F.struct(n.alias("n"), F.get(F.col("atoms"), n["atom_no"]).alias("a")))
-    rows = unnest(pages, [*PAGE, "width", "height", "__bx", "__by"], paired, "chunk_index", "p")
-    rows = rows.select(*PAGE, "width", "height", "__bx", "__by", "chunk_index", "p.n", "p.a").withColumn("m", g.normalized_position(F.col("n.bbox"), w, h))
-    dynamic = dynamic_position(F.col("m.x"), F.col("m.y"), F.col("__bx"), F.col("__by"))
-    kept = ["content", "content_raw", "content_tagged", "mime_type"]
-    debug = F.when(F.col("a").isNotNull(), F.struct(*(F.col(f"a.{c}").alias(c) for c in ATOM_FIELDS[6:]), F.lit(None).cast("string").alias("dropped_reason")))
-    return rows.select(
-        *PAGE, F.col("n.path").alias("path"), F.col("n.parent_path").alias("parent_path"), F.col("n.depth").alias("depth"), F.col("n.ordinal").alias("ordinal"), "chunk_index",
-        F.coalesce(F.col("a.type"), F.lit("group")).alias("type"), F.col("n.layout").alias("layout"), F.col("n.bbox").alias("bbox"), *(F.col(f"a.{c}").alias(c) for c in kept),
-        F.col("m").alias("position_normalized"), g.normalized_size(F.col("n.bbox"), w, h).alias("size_normalized"), g.coarse_position(F.col("n.bbox"), w, h).alias("absolute_position_coarse"),
-        (dynamic if grouped else F.lit(None).cast("struct<x_zone:int,x_zone_count:int,y_zone:int,y_zone_count:int>")).alias("absolute_position_dynamic"),
-        relative_position(F.col("n.ordinal"), F.col("n.n_siblings"), F.col("n.parent_layout")).alias("relative_position"), debug.alias("debug"),
-    )
+    rows = unnest(_paired(pages), [*PAGE, *_PAGE_COLUMNS], "__pairs", "chunk_index", "p").select(*PAGE, *_PAGE_COLUMNS, "chunk_index", "p.n", "p.a")
+    return rows.select(*PAGE, *chunk_fields(F.col("n"), F.col("a"), F.col("chunk_index"), {c: F.col(c) for c in _PAGE_COLUMNS}, grouped))
+
+
+def with_chunks(pages: DataFrame, grouped: bool = True) -> DataFrame:
+    """Pages with their chunks in one array in pre-order, in place of ``nodes``; ``atoms`` stay for counting."""
+    page = {c: F.col(c) for c in _PAGE_COLUMNS}
+    chunks = F.transform("__pairs", lambda p, i: F.struct(*chunk_fields(p["n"], p["a"], i, page, grouped)))
+    return _paired(pages).withColumn("chunks", chunks).select(*PAGE, "width", "height", "atoms", "chunks")

@@ -7,7 +7,7 @@ texts and the SVG itself are expressions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -89,26 +89,41 @@ def _placed(pages: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
         yield pd.Series(out, dtype=object)
 
 
-def labelled(chunks: DataFrame, zoom: float = 2.0, recurse_groups: bool = True) -> DataFrame:
-    """One row for each drawn chunk: its scaled box, label, colour and line width. Without ``recurse_groups`` only the top."""
-    rows = chunks if recurse_groups else chunks.where("depth = 0")
-    width = F.greatest(F.lit(1), F.lit(max(2, int(zoom))) - F.col("depth"))
-    label = t.chunk_label(F.col("type"), F.col("layout"), F.col("absolute_position_coarse"), F.col("absolute_position_dynamic"), F.col("relative_position"))
-    return rows.select(*PAGE, "path", "type", g.scale(F.col("bbox"), zoom).alias("box"), label.alias("label"), t.chunk_colour(F.col("type"), F.col("layout")).alias("colour"), width.alias("line_width"))
+def _drawn(c: Callable[[str], Column], zoom: float) -> Column:
+    """What is drawn of a chunk: its scaled box, label, colour, line width and kind."""
+    width = F.greatest(F.lit(1), F.lit(max(2, int(zoom))) - c("depth"))
+    label = t.chunk_label(c("type"), c("layout"), c("absolute_position_coarse"), c("absolute_position_dynamic"), c("relative_position"))
+    return F.struct(c("path").alias("path"), g.scale(c("bbox"), zoom).alias("box"), label.alias("label"), t.chunk_colour(c("type"), c("layout")).alias("colour"), width.alias("line_width"), c("type").alias("type"))
+
+
+def _is_drawn(c: Callable[[str], Column], recurse_groups: bool) -> Column:
+    return c("bbox").isNotNull() & (F.lit(True) if recurse_groups else c("depth") == 0)
 
 
 def render_svg(chunks: DataFrame, pages: DataFrame, zoom: float = 2.0, show_labels: bool = True, recurse_groups: bool = True) -> DataFrame:
     """``doc_id, page_number, svg``: every page of ``pages`` with the boxes and labels of its chunks.
 
     ``pages`` has width and height. A page without chunks is an empty drawing.
-    Chunks without box aren't drawn.
+    Chunks without box aren't drawn; without ``recurse_groups`` only those at the
+    top are. This is for stored tables and shuffles them by page; ``svg_of_pages``
+    needs no shuffle.
     """
+    drawn = chunks.where(_is_drawn(F.col, recurse_groups)).select(*PAGE, _drawn(F.col, zoom).alias("c"))
+    grouped = drawn.groupBy(*PAGE).agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    both = pages.select(*PAGE, "width", "height").join(grouped, PAGE, "left")
+    return _svg(both.withColumn("cs", F.coalesce("cs", F.array().cast(grouped.schema["cs"].dataType))), zoom, show_labels)
+
+
+def svg_of_pages(pages: DataFrame, zoom: float = 2.0, show_labels: bool = True, recurse_groups: bool = True) -> DataFrame:
+    """As ``render_svg``, from pages with ``chunks`` (``layout.with_chunks``); nothing is shuffled."""
+    drawn = F.transform(F.filter("chunks", lambda c: _is_drawn(c.__getitem__, recurse_groups)), lambda c: _drawn(c.__getitem__, zoom))
+    return _svg(pages.select(*PAGE, "width", "height", drawn.alias("cs")), zoom, show_labels)
+
+
+def _svg(both: DataFrame, zoom: float, show_labels: bool) -> DataFrame:
     if zoom <= 0:
         raise ValueError("zoom must be above 0")
-    drawn = labelled(chunks.where("bbox is not null"), zoom, recurse_groups)
-    sizes = pages.select(*PAGE, (F.col("width") * zoom).alias("w"), (F.col("height") * zoom).alias("h"))
-    grouped = drawn.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("path", "box", "label", "colour", "line_width", "type"))).alias("cs"))
-    both = sizes.join(grouped, PAGE, "left").withColumn("cs", F.coalesce("cs", F.array().cast(grouped.schema["cs"].dataType)))
+    both = both.select(*PAGE, (F.col("width") * zoom).alias("w"), (F.col("height") * zoom).alias("h"), "cs")
     numbers = lambda b: F.array(*(b[s] for s in g.SIDES))
     both = both.withColumn("places", F.transform("cs", lambda c: candidates(c["box"], label_width(c["label"]), c["type"] == "group", F.col("w"), F.col("h"), zoom)))
     both = both.withColumn("chosen", F.pandas_udf(_placed, "array<int>").asNondeterministic()(F.flatten(F.transform("cs", lambda c: numbers(c["box"]))), F.flatten(F.transform("places", lambda o: F.flatten(F.transform(o, lambda p: numbers(p["rect"])))))))

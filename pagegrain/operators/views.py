@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegrain.operators.atoms import PAGE
+from pagegrain.operators.atoms import PAGE, page_counts
 from pagegrain.runtime import distinct_by
 
 KINDS = ("text", "image", "table", "group")
@@ -45,39 +47,68 @@ def page_blocks(chunks: DataFrame) -> DataFrame:
 
 
 _COMMON = ["chunk_index", "page_number", "type", "bbox", "position_normalized", "size_normalized", "absolute_position_coarse", "absolute_position_dynamic", "relative_position"]
+_COUNTS = ("atom_count", "text_atom_count", "image_atom_count", "table_atom_count")
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
-def _chunk_json(*columns: str) -> Column:
+def _json(*columns: Column | str) -> Column:
     return F.to_json(F.struct(*columns), _KEEP_NULLS)
 
 
-def page_json(chunks: DataFrame, pages: DataFrame) -> DataFrame:
-    """``doc_id, page_number, json``: each page of ``pages`` with its tree of chunks, nulls kept.
+def _open(text: Column, more: str) -> Column:
+    """An object's text without its last brace, and what goes on."""
+    return F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(more))
 
-    Groups have ``layout`` and, last, ``children``; leaves have content and debug.
-    Chunks lie in pre-order, so a page's text is its chunks' texts, each followed by
-    as many closings as the next one is less deep: one shuffle, no recursion.
-    ``pages`` has width, height and the four atom counts.
+
+def _chunk_text(c: Callable[[str], Column]) -> Column:
+    """A chunk as JSON; a group's is left open for its children."""
+    named = lambda *names: [c(n).alias(n) for n in names]
+    group = _open(_json(*named(*_COMMON, "layout")), ',"children":[')
+    text = _json(*named(*_COMMON, "content", "content_raw", "content_tagged", "debug"))
+    other = _json(*named(*_COMMON, "content", "mime_type", "debug"))
+    return F.when(c("type") == "group", group).when(c("type") == "text", text).otherwise(other)
+
+
+def _tree_text(nodes: str) -> Column:
+    """Chunks in pre-order (``depth, open, j``) as one text.
+
+    Each is followed by as many closings as the next is less deep, so no recursion is needed.
     """
-    leaf = F.when(F.col("type") == "text", _chunk_json(*_COMMON, "content", "content_raw", "content_tagged", "debug")).otherwise(_chunk_json(*_COMMON, "content", "mime_type", "debug"))
-    group = F.concat(F.expr("left(g, length(g) - 1)"), F.lit(',"children":['))
-    rows = chunks.withColumn("g", _chunk_json(*_COMMON, "layout")).withColumn("j", F.when(F.col("type") == "group", group).otherwise(leaf))
-    trees = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("path", "depth", (F.col("type") == "group").alias("open"), "j"))).alias("ns"))
 
     def piece(n: Column, i: Column) -> Column:
-        following = F.get(F.col("ns"), i + 1)
-        last = following.isNull()
+        following = F.get(F.col(nodes), i + 1)
         next_depth = F.coalesce(following["depth"], F.lit(0))
         level = n["depth"] + F.when(n["open"], 1).otherwise(0)  # how deep the text is after this chunk
         closings = F.repeat(F.lit("]}"), F.greatest(level - next_depth, F.lit(0)))
-        return F.concat(n["j"], closings, F.when(last | (n["open"] & (next_depth > n["depth"])), "").otherwise(","))
+        return F.concat(n["j"], closings, F.when(following.isNull() | (n["open"] & (next_depth > n["depth"])), "").otherwise(","))
+
+    return F.array_join(F.transform(nodes, piece), "")
+
+
+def _page_text_json(tree: Column, counts: list[Column | str]) -> Column:
+    head = _open(_json("page_number", "width", "height"), ',"chunks":[')
+    return F.concat(head, F.coalesce(tree, F.lit("")), F.lit('],"debug":'), _json(*counts), F.lit("}"))
+
+
+def page_json(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """``doc_id, page_number, json``: each page of ``pages`` with its tree of chunks, nulls kept.
+
+    Groups have ``layout`` and, last, ``children``; leaves have content and debug.
+    ``pages`` has width, height and the four atom counts. This is for stored tables
+    and shuffles them by page; ``json_of_pages`` needs no shuffle.
+    """
+    rows = chunks.withColumn("j", _chunk_text(F.col))
+    trees = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("path", "depth", (F.col("type") == "group").alias("open"), "j"))).alias("ns"))
+    whole = pages.select(*PAGE, "width", "height", *_COUNTS).join(trees.select(*PAGE, _tree_text("ns").alias("tree")), PAGE, "left")
+    return whole.select(*PAGE, _page_text_json(F.col("tree"), list(_COUNTS)).alias("json"))
+
 
-    trees = trees.select(*PAGE, F.array_join(F.transform("ns", piece), "").alias("tree"))
-    debug = F.to_json(F.struct(*(c for c in ("atom_count", "text_atom_count", "image_atom_count", "table_atom_count"))), _KEEP_NULLS)
-    head = pages.select(*PAGE, F.to_json(F.struct("page_number", "width", "height"), _KEEP_NULLS).alias("h"), debug.alias("d"))
-    whole = head.join(trees, PAGE, "left")
-    return whole.select(*PAGE, F.concat(F.expr("left(h, length(h) - 1)"), F.lit(',"chunks":['), F.coalesce("tree", F.lit("")), F.lit('],"debug":'), F.col("d"), F.lit("}")).alias("json"))
+def json_of_pages(pages: DataFrame) -> DataFrame:
+    """As ``page_json``, from pages with ``atoms`` and ``chunks`` (``layout.with_chunks``); nothing is shuffled."""
+    number = F.col("page_number")
+    nodes = F.transform("chunks", lambda c: F.struct(c["depth"].alias("depth"), (c["type"] == "group").alias("open"), _chunk_text(lambda name: number if name == "page_number" else c[name]).alias("j")))
+    counted = page_counts(pages.withColumn("ns", nodes), "ns")
+    return counted.select(*PAGE, _page_text_json(_tree_text("ns"), list(_COUNTS)).alias("json"))
 
 
 def document_json(page_jsons: DataFrame) -> DataFrame:

@@ -435,18 +435,18 @@ def point_page(spark: SparkSession, d: str) -> DataFrame:
     return views.distinct_chunks(table(spark, d, "chunks").where("page_number = 2")).select("chunk_id", "path", "type")
 
 
-def _parsed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return parse.parse_document(_raw(spark, d))
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return layout.with_chunks(parse.parsed_pages(_raw(spark, d)))
 
 
 @query
 def page_json(spark: SparkSession, d: str) -> DataFrame:
-    return views.page_json(*_parsed(spark, d))
+    return views.json_of_pages(_parsed(spark, d))
 
 
 @query
 def document_json(spark: SparkSession, d: str) -> DataFrame:
-    return views.document_json(views.page_json(*_parsed(spark, d)))
+    return views.document_json(views.json_of_pages(_parsed(spark, d)))
 
 
 @query
@@ -459,7 +459,7 @@ def overlay_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def overlay_svg(spark: SparkSession, d: str) -> DataFrame:
-    return overlay.render_svg(*_parsed(spark, d))
+    return overlay.svg_of_pages(_parsed(spark, d))
 
 
 # --- problem 6: nested records

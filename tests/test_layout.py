@@ -187,6 +187,18 @@ def test_json_reads_back_as_the_same_tree(spark):
     assert "content_raw" in document.first().json
 
 
+def test_pages_and_tables_give_the_same_json_and_drawings(spark):
+    rng = np.random.default_rng(7)
+    pages = raw(spark, [text_block(k, (x, y, x + 60, y + 20)) for k, (x, y) in enumerate(rng.integers(0, 700, (20, 2)))] + [image_block(20, (1, 1, 90, 90))]).unionByName(raw(spark, [], number=2))
+    tables = parse.parse_document(pages)
+    whole = layout.with_chunks(parse.parsed_pages(pages))
+    assert sorted(views.page_json(*tables).collect()) == sorted(views.json_of_pages(whole).collect())
+    for flags in ({}, {"recurse_groups": False}, {"show_labels": False, "zoom": 1.0}):
+        assert sorted(overlay.render_svg(*tables, **flags).collect()) == sorted(overlay.svg_of_pages(whole, **flags).collect())
+    for df in (views.json_of_pages(whole), overlay.svg_of_pages(whole)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_zones(spark):
     values = F.array(*(F.lit(v) for v in (-0.1, 0.5, 0.52, 0.9)))
     breaks = layout.zone_breaks(values, 0.08)
