@@ -19,6 +19,11 @@ def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.struct(*(c.cast("double").alias(n) for c, n in zip((x0, y0, x1, y1), SIDES, strict=True)))
 
 
+def complete(b: Column) -> Column:
+    """Whether a box has all its sides; false for a null box."""
+    return b["x0"].isNotNull() & b["y0"].isNotNull() & b["x1"].isNotNull() & b["y1"].isNotNull()
+
+
 def width(b: Column) -> Column:
     return F.when(b["x1"] > b["x0"], b["x1"] - b["x0"]).when(b.isNotNull(), F.lit(0.0))
 

@@ -85,7 +85,7 @@ def tagged_text(block: Column, page_width: Column, page_height: Column) -> Colum
 
 def _tagged_line(line: Column, page_width: Column, page_height: Column) -> Column:
     placed = F.transform(_spans(line), lambda s, i: F.struct(s["bbox"]["x0"].alias("x0"), i.alias("i"), s["bbox"].alias("b"), span_text(s).alias("t")))
-    spans = F.array_sort(F.filter(placed, lambda s: s["b"].isNotNull() & (s["t"] != "")))
+    spans = F.array_sort(F.filter(placed, lambda s: g.complete(s["b"]) & (s["t"] != "")))
     none = F.array().cast(f"array<struct<b:{g.BOX},t:string>>")
     start = F.struct(none.alias("done"), F.lit(None).cast("double").alias("right"))
 

@@ -48,7 +48,7 @@ def pad_table(bbox: Column) -> Column:
 def padded_tables(raw: DataFrame, include_table_base64: bool = True) -> DataFrame:
     """Adds ``table_list``: padded tables with payload, by falling area; tables without box are left out."""
     content = (lambda x: t.base64_plain(x["png"])) if include_table_base64 else (lambda x: F.lit(None).cast("string"))
-    found = F.filter(_array("tables"), lambda x: x["bbox"].isNotNull())
+    found = F.filter(_array("tables"), lambda x: g.complete(x["bbox"]))
     padded = F.transform(found, lambda x, i: F.struct(pad_table(x["bbox"]).alias("bbox"), i.alias("no"), content(x).alias("content")))
     keyed = F.transform(F.col("__padded"), lambda x: F.struct((-g.area(x["bbox"])).alias("k"), x["no"].alias("no"), x["bbox"].alias("bbox"), x["content"].alias("content")))
     return raw.withColumn("__padded", padded).withColumn("table_list", F.array_sort(keyed)).drop("__padded")
@@ -94,14 +94,14 @@ def with_tables(raw: DataFrame, include_table_base64: bool = True) -> DataFrame:
 
 def with_text_boxes(raw: DataFrame) -> DataFrame:
     """Adds ``text_boxes``: those of all text blocks, also of blocks that give no atom."""
-    texts = F.filter(_array("blocks"), lambda b: (b["type"] == 0) & b["bbox"].isNotNull())
+    texts = F.filter(_array("blocks"), lambda b: (b["type"] == 0) & g.complete(b["bbox"]))
     return raw.withColumn("text_boxes", F.transform(texts, lambda b: b["bbox"]))
 
 
 def with_texts(pages: DataFrame) -> DataFrame:
     """Adds ``text_list``: text blocks outside tables whose text isn't empty. Needs ``table_list``, sizes."""
     placed = F.transform(_array("blocks"), lambda b, i: F.struct(i.alias("no"), b.alias("b")))
-    outside = F.filter(placed, lambda x: (x["b"]["type"] == 0) & x["b"]["bbox"].isNotNull() & (table_overlap(x["b"]["bbox"], F.col("table_list")) < F.lit(TEXT_IN_TABLE)))
+    outside = F.filter(placed, lambda x: (x["b"]["type"] == 0) & g.complete(x["b"]["bbox"]) & (table_overlap(x["b"]["bbox"], F.col("table_list")) < F.lit(TEXT_IN_TABLE)))
     raw = F.transform(F.col("__outside"), lambda x: F.struct(x["no"].alias("no"), x["b"].alias("b"), t.block_text(x["b"]).alias("raw")))
     clean = F.transform(F.col("__raw"), lambda x: F.struct(x["no"].alias("no"), x["b"].alias("b"), x["raw"].alias("raw"), t.normalize(x["raw"]).alias("clean")))
     texts = F.transform(
@@ -117,7 +117,7 @@ def with_texts(pages: DataFrame) -> DataFrame:
 def listed_images(pages: DataFrame, include_image_base64: bool = True, skip_background_images: bool = True) -> DataFrame:
     """Adds ``image_list``: image blocks with payload and signature, by falling area, those with payload first. Needs ``text_boxes``."""
     placed = F.transform(_array("blocks"), lambda b, i: F.struct(i.alias("no"), b.alias("b")))
-    wanted = F.filter(placed, lambda x: (x["b"]["type"] == 1) & x["b"]["bbox"].isNotNull())
+    wanted = F.filter(placed, lambda x: (x["b"]["type"] == 1) & g.complete(x["b"]["bbox"]))
     if skip_background_images:
         wanted = F.filter(wanted, lambda x: ~is_background(x["b"]["bbox"], F.col("rect"), F.col("text_boxes")))
     content = (lambda b: t.base64_plain(b["image"])) if include_image_base64 else (lambda b: F.lit(None).cast("string"))
@@ -160,10 +160,11 @@ def page_atoms(raw: DataFrame, include_table_base64: bool = True, include_image_
 
     Reading order is by top, then left side; of equal ones texts come before images
     before tables, texts as listed, images and tables by falling area. Null blocks
-    and tables count as none; a page without atoms has the empty array; a null rect
-    counts as an empty page. Boxes without a side aren't given.
+    and tables count as none; a page without atoms has the empty array; a rect
+    that is null or lacks a side counts as an empty page, and a box that lacks one
+    as no box.
     """
-    pages = with_sizes(raw.select(*PAGE, F.coalesce("rect", g.box(*[F.lit(0.0)] * 4)).alias("rect"), "blocks", "tables"))
+    pages = with_sizes(raw.select(*PAGE, F.when(g.complete(F.col("rect")), F.col("rect")).otherwise(g.box(*[F.lit(0.0)] * 4)).alias("rect"), "blocks", "tables"))
     pages = with_images(with_texts(with_text_boxes(with_tables(pages, include_table_base64))), include_image_base64, skip_background_images)
     png = F.lit("image/png")
     texts = F.transform("text_list", lambda x: _atom(

@@ -97,14 +97,14 @@ def _drawn(c: Callable[[str], Column], zoom: float) -> Column:
 
 
 def _is_drawn(c: Callable[[str], Column], recurse_groups: bool) -> Column:
-    return c("bbox").isNotNull() & (F.lit(True) if recurse_groups else c("depth") == 0)
+    return g.complete(c("bbox")) & (F.lit(True) if recurse_groups else c("depth") == 0)
 
 
 def render_svg(chunks: DataFrame, pages: DataFrame, zoom: float = 2.0, show_labels: bool = True, recurse_groups: bool = True) -> DataFrame:
     """``doc_id, page_number, svg``: every page of ``pages`` with the boxes and labels of its chunks.
 
     ``pages`` has width and height. A page without chunks is an empty drawing.
-    Chunks without box aren't drawn; without ``recurse_groups`` only those at the
+    Chunks without a whole box aren't drawn; without ``recurse_groups`` only those at the
     top are. This is for stored tables and shuffles them by page; ``svg_of_pages``
     needs no shuffle.
     """

@@ -231,7 +231,17 @@ walk AS (SELECT record_id, page_number, lpad((i - 1)::VARCHAR, 4, '0') AS node_p
 UNION ALL SELECT record_id, page_number, node_path || '.' || lpad((i - 1)::VARCHAR, 4, '0'), node_path, c FROM (SELECT record_id, page_number, node_path, unnest(kids) AS c, generate_subscripts(kids, 1) AS i
   FROM (SELECT record_id, page_number, node_path, {_elements("(n->'children')")} AS kids FROM walk WHERE json_type(n) = 'OBJECT')))"""
 
+_PLACES = f"""{BOXES}, scaled AS (SELECT page, id, x0 * 2 AS x0, y0 * 2 AS y0, x1 * 2 AS x1, y1 * 2 AS y1, greatest(20, 7 * length(kind)) + 8::DOUBLE AS w, 18::DOUBLE AS h, 8 * CASE WHEN kind = 'table' THEN 1.8::DOUBLE ELSE 1::DOUBLE END AS m FROM boxes),
+middled AS (SELECT *, (x0 + x1) / 2 AS mx, (y0 + y1) / 2 AS my FROM scaled),
+listed AS (SELECT page, id, w, h, [
+  {{'l': x0, 't': y0 - h - m, 'ax': x0, 'ay': y0}}, {{'l': x1 - w, 't': y0 - h - m, 'ax': x1, 'ay': y0}}, {{'l': x1 + m, 't': my - h / 2, 'ax': x1, 'ay': my}}, {{'l': x0 - m - w, 't': my - h / 2, 'ax': x0, 'ay': my}},
+  {{'l': x0, 't': y1 + m, 'ax': x0, 'ay': y1}}, {{'l': x1 - w, 't': y1 + m, 'ax': x1, 'ay': y1}}, {{'l': mx - w / 2, 't': y0 - h - m, 'ax': mx, 'ay': y0}}, {{'l': mx - w / 2, 't': y1 + m, 'ax': mx, 'ay': y1}}] AS ps FROM middled),
+places AS (SELECT page, id, w, h, unnest(ps) AS p, generate_subscripts(ps, 1)::INTEGER - 1 AS place_no FROM listed),
+moved AS (SELECT page, id, place_no, p, w, h, CASE WHEN p.l < 0 THEN -p.l WHEN p.l + w > 1224 THEN 1224 - (p.l + w) ELSE 0 END AS dx, CASE WHEN p.t < 0 THEN -p.t WHEN p.t + h > 1584 THEN 1584 - (p.t + h) ELSE 0 END AS dy FROM places)"""
+
 ORACLES: dict[str, str] = {
+    # overlays
+    "overlay_candidates": f"WITH {_PLACES} SELECT page, id, place_no, p.l + dx AS x0, p.t + dy AS y0, p.l + w + dx AS x1, p.t + h + dy AS y1, p.ax AS ax, p.ay AS ay FROM moved",
     # nested records
     "p6_found": f"{_RECORDS} SELECT record_id, page_number, node_path, parent_path FROM walk WHERE json_type(n) = 'OBJECT'",
     # geometry

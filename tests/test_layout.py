@@ -158,6 +158,11 @@ def test_null_fields_and_empty_pages(spark):
         assert views.page_text(chunks, pages).first().text == ""
         assert json.loads(views.page_json(chunks, pages).first().json)["chunks"] == []
         assert overlay.render_svg(chunks, pages).first().svg.endswith("></svg>")
+    part = dict(zip(g.SIDES, (1.0, None, 9.0, 9.0), strict=True))
+    odd = spark.createDataFrame([("d", None, part, [text_block(0, (1, 1, 9, 9)), BLOCK | {"bbox": part, "lines": [{"spans": [{"bbox": part, "text": "x", "chars": None}, None]}, None, {"spans": None}]}], [{"table_no": 0, "bbox": part, "png": None}])], sources.RAW_PAGES)
+    chunks, pages = parse.parse_document(odd)
+    assert [(r.content, r.absolute_position_coarse) for r in chunks.collect()] == [("words", "BOTTOM_RIGHT")] and pages.first().atom_count == 1
+    assert len(overlay.svg_of_pages(layout.with_chunks(parse.parsed_pages(odd))).first().svg) > 100
     none = raw(spark).limit(0)
     assert parse.parse_document(none)[0].count() == 0
 
