@@ -25,7 +25,7 @@ def source_plan(sizes: DataFrame, targets: DataFrame, budget: str = "total") ->
     ``sizes`` has ``source`` and ``n_tokens`` of each document; sources not in
     ``targets``, and null ones, don't count. ``budget`` is the tokens of all
     documents of the listed sources ("total"), or the most at which every source
-    reaches its share ("feasible"). ``can_reach``: tokens times max_repeats are at
+    reaches its share ("feasible"; 0 if one with a share has no tokens). ``can_reach``: tokens times max_repeats are at
     least the share of the total. ``planned``: the tokens a source is to give, its
     share of the budget or all it may. A target without documents has 0 tokens.
     ``slope``: the weight at time t is share * (1 + slope * (2t - 1)), scarcer

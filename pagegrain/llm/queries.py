@@ -72,14 +72,14 @@ def p4_containers(spark: SparkSession, d: str) -> DataFrame:
 
 # 5: site lines
 def _ledger(spark: SparkSession, d: str) -> tuple[DataFrame, sitelines.LineLedger, sitelines.LineLedger]:
-    """The lines, and the ledgers after the chunks of the first day and after the late ones."""
+    """The lines, and the ledgers after the chunks of the first day and after all later ones."""
     chunks = table(spark, d, "chunks")
     first_day = chunks.agg(F.to_date(F.min("ingested_at"))).first()[0]
-    chunks = chunks.withColumn("late", F.coalesce(F.to_date("ingested_at") > F.lit(first_day), F.lit(False)))
-    lines = materialize(sitelines.line_table(chunks.where("type = 'text'"), ["late"]), "lines")
-    files = materialize(chunks.select("source", "doc_id", "late").distinct(), "files")
-    first = sitelines.LineLedger.first(lines.where("not late"), files.where("not late"))
-    return lines, first, first.merge(lines.where("late"), files.where("late"))
+    chunks = chunks.withColumn("later", F.coalesce(F.to_date("ingested_at") > F.lit(first_day), F.lit(False)))
+    lines = materialize(sitelines.line_table(chunks.where("type = 'text'"), ["later"]), "lines")
+    files = materialize(chunks.select("source", "doc_id", "later").distinct(), "files")
+    first = sitelines.LineLedger.first(lines.where("not later"), files.where("not later"))
+    return lines, first, first.merge(lines.where("later"), files.where("later"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
