@@ -2,15 +2,16 @@
 
 A text's score adds the share of its words outside a list of frequent words, taken
 from the document frequencies of the corpus, and the logarithm of its typical
-sentence length. Weights and band limits are fitted to a small table of graded
-samples.
+sentence length. Words about as frequent as the list's limit count in part, so that
+a word that crosses it as the corpus grows moves no score by a leap. Weights and
+band limits are fitted to a small table of graded samples.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from statistics import median
 
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 
 #: A word is familiar if this share of the documents has it.
 FAMILIAR_SHARE = 0.2
+#: Words from this part of that share on count in part, those from its counterpart above it on in full.
+GRADED_FROM, GRADED_TO = 0.75, 1.25
+#: Of the two figures, in spreads of the samples, each has at least this part of the other's weight.
+LEAST_WEIGHT = 0.2
 #: Graded samples used for fitting, at most; the table is small and fixed.
 MAX_SAMPLES = 10_000
 MIN_WORDS = 100
@@ -47,19 +52,39 @@ def sentence_length(text: str) -> float:
     return _typical([len(words_of(part)) for part in _SENTENCE.split(text)])
 
 
-def measure(text: str, familiar: frozenset[str]) -> tuple[float, float]:
+class Grades(dict):
+    """Familiarity of words, from 0 to 1; words that aren't held have 0."""
+
+    def __missing__(self, word: str) -> float:
+        return 0.0
+
+
+def measure(text: str, familiar: frozenset[str] | Grades) -> tuple[float, float]:
     """Share of unfamiliar words, and typical sentence length."""
+    grade = familiar.__getitem__ if isinstance(familiar, Mapping) else familiar.__contains__
     sizes, known = [], 0
     for part in _SENTENCE.split(text):
         words = words_of(part)
         sizes.append(len(words))
-        known += sum(map(familiar.__contains__, words))
+        known += sum(map(grade, words))
     total = sum(sizes)
     return (1 - known / total if total else 0.0), _typical(sizes)
 
 
 def familiar_words(texts: DataFrame, text_col: str, share: float = FAMILIAR_SHARE) -> frozenset[str]:
-    """Words that at least ``share`` of the documents have; null texts don't count.
+    """Words that at least ``share`` of the documents have; null texts don't count."""
+    return frozenset(document_shares(texts, text_col, share))
+
+
+def word_grades(texts: DataFrame, text_col: str, share: float = FAMILIAR_SHARE) -> Grades:
+    """Words' familiarity: by the logarithm of their share of documents, 0 below and 1 above a stretch around ``share``."""
+    low, high = np.log(share * GRADED_FROM), np.log(share * GRADED_TO)
+    shares = document_shares(texts, text_col, share * GRADED_FROM)
+    return Grades({w: min(1.0, float((np.log(s) - low) / (high - low))) for w, s in shares.items()})
+
+
+def document_shares(texts: DataFrame, text_col: str, share: float) -> dict[str, float]:
+    """Words that at least ``share`` of the documents have, each with its share.
 
     Counts are combined in each task before the shuffle. The list is bounded by the
     mean number of distinct words of a document over ``share``, whatever the
@@ -80,7 +105,7 @@ def familiar_words(texts: DataFrame, text_col: str, share: float = FAMILIAR_SHAR
     counts = texts.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).persist()
     try:
         n_docs = next((r.n for r in counts.where("word = ''").collect()), 0)
-        return frozenset(r.word for r in counts.where((F.col("n") >= share * n_docs) & (F.col("word") != "")).collect())
+        return {r.word: r.n / n_docs for r in counts.where((F.col("n") >= share * n_docs) & (F.col("word") != "")).collect()}
     finally:
         counts.unpersist()
 
@@ -91,7 +116,7 @@ def _counted(counts: Counter[str]) -> pa.RecordBatch:
 
 @dataclass(frozen=True)
 class ReadingModel:
-    familiar: frozenset[str]
+    familiar: frozenset[str] | Grades
     weights: tuple[float, float, float]
     bands: tuple[int, ...]
     limits: tuple[float, ...]
@@ -104,20 +129,28 @@ class ReadingModel:
         return self.bands[int(np.searchsorted(self.limits, score, side="right"))]
 
 
-def fit(samples: list[tuple[str, int]], familiar: frozenset[str]) -> ReadingModel:
-    """Least squares of the band on both figures, none weighted below 0; limits where fewest samples are misplaced."""
+def fit(samples: list[tuple[str, int]], familiar: frozenset[str] | Grades) -> ReadingModel:
+    """Least squares of the band on both figures, each weighted at least ``LEAST_WEIGHT`` of the other; limits where fewest samples are misplaced.
+
+    Both figures rise together in the samples, so that free least squares can give
+    the lesser any weight, one below 0 too, by small changes of the word list.
+    """
     if not samples:
         raise ValueError("graded samples are needed")
     x = np.array([measure(t, familiar) for t, _ in samples])
     y = np.array([b for _, b in samples], dtype=float)
-    columns = np.c_[x[:, 0], np.log(x[:, 1]), np.ones(len(x))]
-    w = np.linalg.lstsq(columns, y, rcond=None)[0]
-    for k in (0, 1):
-        if w[k] < 0:
-            rest = [c for c in (0, 1, 2) if c != k]
-            w = np.zeros(3)
-            w[rest] = np.linalg.lstsq(columns[:, rest], y, rcond=None)[0]
-    scores = columns @ w
+    figures = np.c_[x[:, 0], np.log(x[:, 1])]
+    spread = figures.std(axis=0)
+    scale = np.divide(1.0, spread, out=np.zeros(2), where=spread > 0)
+    w = np.linalg.lstsq(np.c_[figures * scale, np.ones(len(x))], y, rcond=None)[0]
+    lesser = int(w[0] > w[1])
+    if w[lesser] < LEAST_WEIGHT * w[1 - lesser]:
+        parts = np.ones(2)
+        parts[lesser] = LEAST_WEIGHT
+        slope, rest = np.linalg.lstsq(np.c_[figures * scale @ parts, np.ones(len(x))], y, rcond=None)[0]
+        w = np.array([*(max(0.0, slope) * parts), rest])
+    w[:2] *= scale
+    scores = figures @ w[:2] + w[2]
     bands = sorted(set(y.astype(int).tolist()))
     limits = []
     for below in bands[:-1]:
@@ -132,7 +165,7 @@ def fit(samples: list[tuple[str, int]], familiar: frozenset[str]) -> ReadingMode
 
 def train(documents: DataFrame, samples: DataFrame, lang: str = "en") -> ReadingModel:
     """The model of a corpus: its familiar words, fitted to the graded samples."""
-    familiar = familiar_words(documents.where(F.col("lang") == lang), "text")
+    familiar = word_grades(documents.where(F.col("lang") == lang), "text")
     graded = samples.where("text is not null and reading_band is not null").orderBy("sample_id").limit(MAX_SAMPLES).select("text", "reading_band").collect()
     return fit([(r.text, r.reading_band) for r in graded], familiar)
 

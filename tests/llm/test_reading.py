@@ -27,6 +27,36 @@ def test_familiar_words(spark, monkeypatch):
     assert reading.familiar_words(df.limit(0), "text") == frozenset()
 
 
+LARGE = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not Path(LARGE).exists(), reason="test tables are absent")
+def test_unfamiliar_words_keep_their_weight(spark):
+    samples = spark.read.parquet(f"{LARGE}/reading_samples.parquet")
+    model = reading.train(spark.read.parquet(f"{LARGE}/documents.parquet"), samples)
+    assert model.weights[0] > 0 and model.weights[1] > 0
+    graded = [(r.text, r.reading_band) for r in samples.collect()]
+    assert sum(model.band(model.score(text)) == band for text, band in graded) >= 0.96 * len(graded)
+    known, rare = (" ".join([f"The {word} turns here." for word in words] * 40) for words in (["water"], ["zymurgical"]))
+    assert model.score(rare) > model.score(known)
+
+
+def test_weights_of_figures_that_rise_together():
+    # words cross into the list while lengths tell the bands apart: free least squares weighs words below 0
+    texts = [("a " * 3 + ". ", 1), ("a " * 9 + "x . ", 2), ("a " * 25 + "x x x x . ", 3), ("a " * 26 + "x x x x x x x x x . ", 3)]
+    model = reading.fit([(t.strip(), b) for t, b in texts], frozenset("a"))
+    assert min(model.weights[:2]) > 0
+    assert reading.fit([("a a a", 2), ("a a a", 2)], frozenset("a")).bands == (2,)
+
+
+def test_word_grades(spark):
+    rows = [("full half" if i < 13 else "full" if i < 20 else "part" if i < 38 else "none",) for i in range(100)]
+    grades = reading.word_grades(spark.createDataFrame(rows, "text string"), "text")
+    assert grades["none"] == 1.0 and 0 < grades["part"] < 1 and 0 < grades["full"] < 1
+    assert "half" not in grades and grades["half"] == 0.0
+    assert reading.measure("Part part unseen", grades)[0] == pytest.approx(1 - 2 * grades["part"] / 3)
+
+
 def test_sentences():
     assert reading.sentence_length("It is wet. It is dry; It is old\nIt is new") == 3
     assert reading.sentence_length("the plate. wherein the rod turns. Then it stops again") == (6 + 4) / 2
