@@ -26,7 +26,7 @@ DEEPEST_CUT, HELD_SHARE, MIN_EXTENT = 12, 0.8, 1.0
 ZONE_GAP_X, ZONE_GAP_Y = 0.08, 0.07
 
 ZONES = "struct<x_zone:int,x_zone_count:int,y_zone:int,y_zone_count:int>"
-NODE = f"struct<path:string,parent_path:string,depth:int,ordinal:int,n_siblings:int,parent_layout:string,layout:string,atom_no:int,bbox:{g.BOX}>"
+NODE = f"struct<path:string,parent_path:string,depth:int,ordinal:int,n_siblings:int,parent_layout:string,parent_fell_back:boolean,layout:string,atom_no:int,bbox:{g.BOX}>"
 
 
 class PageBoxes:
@@ -87,16 +87,17 @@ def cut_page(rect: list[float], sides: list[list[float]]) -> list[dict]:
 
     A region with a cut whose two sides hold boxes becomes a group of two; any
     other of several boxes a vertical group of them all, and one box is a leaf.
+    ``parent_fell_back`` marks the members of a group made without a cut, however many.
     """
     boxes = PageBoxes(sides)
     nodes: list[dict] = []
     if not sides[0]:
         return nodes
-    # region, members, path, depth, ordinal, siblings, layout of the parent
-    todo: list[tuple] = [(rect, list(range(len(sides[0]))), "0000", 0, 0, 1, None)]
+    # region, members, path, depth, ordinal, siblings, layout of the parent, whether the parent has no cut
+    todo: list[tuple] = [(rect, list(range(len(sides[0]))), "0000", 0, 0, 1, None, False)]
     while todo:
-        region, members, path, depth, ordinal, siblings, above = todo.pop()
-        node = {"path": path, "parent_path": path[:-5], "depth": depth, "ordinal": ordinal, "n_siblings": siblings, "parent_layout": above, "layout": None, "atom_no": None}
+        region, members, path, depth, ordinal, siblings, above, fell_back = todo.pop()
+        node = {"path": path, "parent_path": path[:-5], "depth": depth, "ordinal": ordinal, "n_siblings": siblings, "parent_layout": above, "parent_fell_back": fell_back, "layout": None, "atom_no": None}
         nodes.append(node)
         if len(members) == 1:
             node["atom_no"] = members[0]
@@ -107,7 +108,7 @@ def cut_page(rect: list[float], sides: list[list[float]]) -> list[dict]:
         else:
             node["layout"], parts = "vertical", [(region, [i]) for i in members]
         for k in range(len(parts) - 1, -1, -1):
-            todo.append((*parts[k], f"{path}.{k:04d}", depth + 1, k, len(parts), node["layout"]))
+            todo.append((*parts[k], f"{path}.{k:04d}", depth + 1, k, len(parts), node["layout"], halves is None))
     _hulls(nodes, sides)
     return nodes
 
@@ -182,7 +183,7 @@ def flat_nodes(pages: DataFrame) -> DataFrame:
     """Adds ``nodes`` without groups: the atoms in reading order, each at the top."""
     paths = F.transform("atoms", lambda a, i: F.struct(
         F.lpad(i.cast("string"), 4, "0").alias("path"), F.lit("").alias("parent_path"), F.lit(0).alias("depth"), i.alias("ordinal"), F.size("atoms").alias("n_siblings"),
-        F.lit(None).cast("string").alias("parent_layout"), F.lit(None).cast("string").alias("layout"), i.alias("atom_no"), a["bbox"].alias("bbox")))
+        F.lit(None).cast("string").alias("parent_layout"), F.lit(False).alias("parent_fell_back"), F.lit(None).cast("string").alias("layout"), i.alias("atom_no"), a["bbox"].alias("bbox")))
     return pages.withColumn("nodes", paths)
 
 

@@ -369,7 +369,7 @@ def dynamic_position(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fallback_flow(spark: SparkSession, d: str) -> DataFrame:
-    return _box_nodes(spark, d).where("n_siblings > 2").select("page", "path", "id", "ordinal")
+    return _box_nodes(spark, d).where("parent_fell_back").select("page", "path", "id", "ordinal")
 
 
 @query

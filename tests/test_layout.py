@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagegrain.functions import geometry as g
 from pagegrain.functions import text as t
 from pagegrain.operators import atoms, intervals, layout, nested, overlay, views
-from pagegrain.plans import parse
+from pagegrain.plans import parse, queries
 from pagegrain.sources import raw as sources
 
 RECT = [0.0, 0.0, 600.0, 800.0]
@@ -55,6 +55,23 @@ def test_margin_gap_falls_back():
     assert nodes[0]["layout"] == "vertical" and len(nodes) == 3
 
 
+def test_members_of_fallback_groups_of_any_size_are_marked():
+    fell_back = lambda *bs: [n["path"] for n in cut(*bs) if n["parent_fell_back"]]
+    assert fell_back((100, 100, 300, 200), (100.25, 100, 300.25, 200)) == ["0000.0000", "0000.0001"]
+    assert fell_back((100, 100, 300, 200), (100, 600, 300, 700)) == []
+    assert fell_back((100, 100, 300, 200), (100.25, 100, 300.25, 200), (100, 600, 300, 700)) == ["0000.0000.0000", "0000.0000.0001"]
+
+
+def test_fallback_flow_has_groups_of_two(spark, tmp_path):
+    import datetime
+
+    # a table that fills its page's middle, and its echo: no cut parts the two
+    when = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([(5, when, 1, "error", 3.0)], "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = queries.fallback_flow(spark, str(tmp_path)).collect()
+    assert sorted((r.path, r.id, r.ordinal) for r in got) == [("0000.0000", 5, 0), ("0000.0001", 1_000_000_005, 1)]
+
+
 def test_box_without_area_is_lost_by_a_cut():
     kept = [n["atom_no"] for n in cut((0, 0, 100, 50), (0, 25, 100, 25), (0, 700, 100, 790)) if n["atom_no"] is not None]
     assert kept == [0, 2]
