@@ -30,10 +30,20 @@ class RecordShape:
     item: str = "chunks"
     child: str = "children"
 
+    #: An array of objects in each item.
+    notes_key: str = "annotations"
+
     @property
     def items(self) -> str:
         return f"{self.outer}.{self.item}"
 
+    @property
+    def notes(self) -> str:
+        return f"{self.items}.{self.notes_key}"
+
+    def inside(self, table: str) -> bool:
+        return table == self.outer or table.startswith(f"{self.outer}.")
+
     def alone(self, ancestor: str, leaf: str) -> bool:
         """Whether an object may stand here for an array of one."""
         return (ancestor, leaf) in (("", self.outer), (self.outer, self.item), (self.items, self.child))
@@ -195,8 +205,8 @@ def flatten_records(df: DataFrame, id_col: str = "record_id", body_col: str = "b
 
     ``table_name`` is the path of the array (the root's is empty). ``node_path`` is
     the ordinals below the page, each as four digits, joined by dots; the page
-    itself has the empty path. ``parent_path`` is that of the enclosing object,
-    ``''`` at the top. ``fields`` maps each path below the object to its value as
+    itself has the empty path. Outside the pages it is all ordinals.
+    ``parent_path`` is that of the enclosing object, ``''`` at the top. ``fields`` maps each path below the object to its value as
     text, a string as it is and anything else as JSON.
 
     A null or invalid body, or one that isn't an object, gives no rows. A null
@@ -215,8 +225,8 @@ def flatten_records(df: DataFrame, id_col: str = "record_id", body_col: str = "b
                 for table, ordinals, fields in rows_of(body, shape, with_fields):
                     if table == shape.outer:
                         numbers[ordinals] = _int(fields.get("page_number"))
-                    inner = [f"{x:04d}" for x in ordinals[1:]]
-                    inside = table.startswith(shape.outer)
+                    inside = shape.inside(table)
+                    inner = [f"{x:04d}" for x in (ordinals[1:] if inside else ordinals)]
                     ids.append(i)
                     out.append((table, numbers.get(ordinals[:1]) if inside else None, ".".join(inner), ".".join(inner[:-1]), ordinals[-1] if ordinals else 0, ordinals[0] if inside and ordinals else None, list(fields.items()) if with_fields else []))
                 if len(out) > 20_000:
@@ -258,17 +268,56 @@ def _box() -> Column:
     return F.struct(*sides).alias("bbox")
 
 
+def _rest(taken: list[str], numbers: dict[str, str]) -> Column:
+    """The fields that no column holds: those not ``taken``, and numbers whose text isn't of the column's type."""
+    lost = [F.expr(f"fields['{name}'] is not null and try_cast(fields['{name}'] AS {kind}) is null") for name, kind in numbers.items()]
+    kept = F.array_compact(F.array(*(F.when(bad, name) for name, bad in zip(numbers, lost, strict=True)))) if numbers else F.array().cast("array<string>")
+    listed = F.array(*map(F.lit, [*taken, *numbers]))
+    return F.map_filter("fields", lambda k, _: ~F.array_contains(listed, k) | F.array_contains(kept, k)).alias("rest")
+
+
+_BOX_FIELDS = {**{f"bbox.{s}": "double" for s in ("x0", "y0", "x1", "y1")}, **{f"bbox[{i}]": "double" for i in range(4)}}
+
+
+def record_table(flat: DataFrame, id_col: str = "record_id") -> DataFrame:
+    """One row for each record, with all fields outside arrays of objects."""
+    return flat.where("table_name = ''").select(id_col, "fields")
+
+
 def page_table(flat: DataFrame, id_col: str = "record_id", shape: RecordShape = RecordShape()) -> DataFrame:
-    """One row for each page object."""
-    return flat.where(F.col("table_name") == shape.outer).select(id_col, "page_index", "page_number", _number("width").alias("width"), _number("height").alias("height"), F.expr("try_cast(fields['debug.atom_count'] AS int)").alias("atom_count"))
+    """One row for each page object; ``rest`` has the fields without a column."""
+    number = F.map_filter("fields", lambda k, v: (k == "page_number") & v.isNotNull() & F.col("page_number").isNull())
+    rest = F.map_concat(_rest(["page_number"], {"width": "double", "height": "double", "debug.atom_count": "int"}), number).alias("rest")
+    return flat.where(F.col("table_name") == shape.outer).select(id_col, "page_index", "page_number", _number("width").alias("width"), _number("height").alias("height"), F.expr("try_cast(fields['debug.atom_count'] AS int)").alias("atom_count"), rest)
 
 
 def node_table(flat: DataFrame, groups: bool, id_col: str = "record_id", shape: RecordShape = RecordShape()) -> DataFrame:
-    """One row for each chunk object: the groups, or the leaves (all others)."""
+    """One row for each chunk object: the groups, or the leaves (all others); ``rest`` has the fields without a column."""
     is_group = F.coalesce(F.expr("fields['type']"), F.lit("")) == "group"
     text = lambda name: F.expr(f"fields['{name}']").alias(name)
     own = [text("layout")] if groups else [text("content"), text("mime_type"), F.expr("try_cast(fields['debug.line_count'] AS int)").alias("line_count"), F.expr("fields['debug.dropped_reason']").alias("dropped_reason")]
+    taken = ["type", *(["layout"] if groups else ["content", "mime_type", "debug.dropped_reason"])]
+    numbers = {"chunk_index": "int", "size_normalized.w": "double", "size_normalized.h": "double"} | _BOX_FIELDS | ({} if groups else {"debug.line_count": "int"})
     return flat.where((F.col("table_name") == shape.items) & (is_group if groups else ~is_group)).select(
         id_col, "page_index", "page_number", "node_path", "parent_path", "ordinal", F.expr("try_cast(fields['chunk_index'] AS int)").alias("chunk_index"), text("type"),
-        _box(), _number("size_normalized.w").alias("w"), _number("size_normalized.h").alias("h"), *own,
+        _box(), _number("size_normalized.w").alias("w"), _number("size_normalized.h").alias("h"), *own, _rest(taken, numbers),
     )
+
+
+_TAG = r"^tags\[[0-9]+\]$"
+
+
+def note_table(flat: DataFrame, id_col: str = "record_id", shape: RecordShape = RecordShape()) -> DataFrame:
+    """One row for each annotation; ``parent_path`` is its chunk's ``node_path``.
+
+    Each tag has its place, as nulls among them take one up. ``rest`` has the
+    fields without a column.
+    """
+    tags = F.transform(F.filter(F.map_entries("fields"), lambda e: e["key"].rlike(_TAG)), lambda e: F.struct(F.regexp_extract(e["key"], "[0-9]+", 0).cast("int").alias("ordinal"), e["value"].alias("tag")))
+    rest = F.map_filter(_rest(["kind"], _BOX_FIELDS), lambda k, _: ~k.rlike(_TAG)).alias("rest")
+    return flat.where(F.col("table_name") == shape.notes).select(id_col, "page_index", "page_number", "node_path", "parent_path", "ordinal", F.expr("fields['kind']").alias("kind"), _box(), tags.alias("tags"), rest)
+
+
+def other_table(flat: DataFrame, id_col: str = "record_id", shape: RecordShape = RecordShape()) -> DataFrame:
+    """One row for each object of any array without a table of its own, under the array's name."""
+    return flat.where(~F.col("table_name").isin("", shape.outer, shape.items, shape.notes)).select(id_col, "table_name", "page_index", "page_number", "node_path", "parent_path", "ordinal", "fields")

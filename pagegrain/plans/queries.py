@@ -486,4 +486,19 @@ def p6_leaves(spark: SparkSession, d: str) -> DataFrame:
     return nested.node_table(nested.flatten_records(table(spark, d, "page_records")), groups=False)
 
 
+@query
+def p6_records(spark: SparkSession, d: str) -> DataFrame:
+    return nested.record_table(nested.flatten_records(table(spark, d, "page_records")))
+
+
+@query
+def p6_annotations(spark: SparkSession, d: str) -> DataFrame:
+    return nested.note_table(nested.flatten_records(table(spark, d, "page_records")))
+
+
+@query
+def p6_others(spark: SparkSession, d: str) -> DataFrame:
+    return nested.other_table(nested.flatten_records(table(spark, d, "page_records")))
+
+
 ORACLES = oracle.ORACLES

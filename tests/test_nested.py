@@ -78,5 +78,27 @@ def test_tables(spark):
     assert flat.where("table_name = 'pages.chunks.annotations'").first().fields == {"kind": "mark"}
 
 
+def test_tables_hold_every_field(spark):
+    notes = [None, {"kind": "mark", "bbox": [1, "2", 3, "wide"], "tags": ["a", None, "b"], "by": {"name": "x"}, "links": [{"to": 1}]}]
+    chunk = {"type": "text", "content": "c", "chunk_index": "two", "odd": {"deep": [1]}, "layout": "x", "annotations": notes}
+    page = {"page_number": "p", "width": 10, "skew": 1.5, "chunks": [{"type": "group", "content": "g", "children": [chunk]}], "marks": [{"at": 3}]}
+    body = {"meta": {"title": "t", "by": [{"name": "n", "roles": [{"r": 1}, {"r": 2}]}]}, "pagesets": [{"n": 1}], "pages": [None, page]}
+    flat = nested.flatten_records(spark.createDataFrame([(7, json.dumps(body))], "record_id long, body string"))
+    assert nested.record_table(flat).first().fields == {"meta.title": "t"}
+    assert nested.page_table(flat).first().rest == {"skew": "1.5", "page_number": "p"}
+    assert nested.node_table(flat, True).first().rest == {"content": "g"}
+    leaf = nested.node_table(flat, False).first()
+    assert leaf.rest == {"chunk_index": "two", "odd.deep[0]": "1", "layout": "x"}
+    (note,) = nested.note_table(flat).collect()
+    assert (note.record_id, note.page_index, note.parent_path, note.ordinal, note.kind) == (7, leaf.page_index, leaf.node_path, 1, "mark")
+    assert tuple(note.bbox) == (1.0, 2.0, 3.0, None) and [tuple(t) for t in note.tags] == [(0, "a"), (2, "b")]
+    assert note.rest == {"bbox[3]": "wide", "by.name": "x"}
+    others = {(r.table_name, r.page_index, r.node_path, r.parent_path): r.fields for r in nested.other_table(flat).collect()}
+    assert others == {
+        ("meta.by", None, "0000", ""): {"name": "n"}, ("meta.by.roles", None, "0000.0000", "0000"): {"r": "1"}, ("meta.by.roles", None, "0000.0001", "0000"): {"r": "2"}, ("pagesets", None, "0000", ""): {"n": "1"},
+        ("pages.marks", 1, "0000", ""): {"at": "3"}, ("pages.chunks.annotations.links", 1, f"{note.node_path}.0000", note.node_path): {"to": "1"},
+    }
+
+
 def test_empty_table(spark):
     assert nested.flatten_records(spark.createDataFrame([], "record_id long, body string")).count() == 0
