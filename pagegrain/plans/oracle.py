@@ -153,11 +153,11 @@ def tree(source: str, key: str) -> str:
     behind = "{'x0': CASE WHEN c.ax = 0 THEN c.e ELSE r.x0 END, 'y0': CASE WHEN c.ax = 1 THEN c.e ELSE r.y0 END, 'x1': r.x1, 'y1': r.y1}"
     enough = "(CASE WHEN c.ax = 0 THEN c.s - r.x0 > 1 AND r.x1 - c.e > 1 ELSE c.s - r.y0 > 1 AND r.y1 - c.e > 1 END)"
     return f"""tree AS (
-SELECT {key}, '0000' AS path, 0 AS depth, r, a, NULL::VARCHAR AS above, 1 AS siblings, 0 AS ordinal FROM {source}
+SELECT {key}, '0000' AS path, 0 AS depth, r, a, NULL::VARCHAR AS above, 1 AS siblings, 0 AS ordinal, false AS fell FROM {source}
 UNION ALL
-SELECT {key}, path || '.' || lpad((u.k)::VARCHAR, 4, '0'), depth + 1, u.r, u.a, layout, n, u.k FROM (
- SELECT {key}, path, depth, layout, len(kids) AS n, unnest(kids) AS u FROM (
-  SELECT {key}, path, depth, CASE WHEN cut AND c.ax = 0 THEN 'horizontal' ELSE 'vertical' END AS layout,
+SELECT {key}, path || '.' || lpad((u.k)::VARCHAR, 4, '0'), depth + 1, u.r, u.a, layout, n, u.k, fell FROM (
+ SELECT {key}, path, depth, layout, fell, len(kids) AS n, unnest(kids) AS u FROM (
+  SELECT {key}, path, depth, NOT cut AS fell, CASE WHEN cut AND c.ax = 0 THEN 'horizontal' ELSE 'vertical' END AS layout,
     CASE WHEN cut THEN [{{'k': 0, 'r': p, 'a': ap}}, {{'k': 1, 'r': q, 'a': aq}}] ELSE list_transform(a, lambda x, i: {{'k': (i - 1)::INTEGER, 'r': r, 'a': [x]}}) END AS kids FROM (
    SELECT *, c IS NOT NULL AND depth <= 12 AND coalesce({enough}, false) AND len(ap) > 0 AND len(aq) > 0 AS cut FROM (
     SELECT *, unnest([{held('p')}]) AS ap, unnest([{held('q')}]) AS aq FROM (
@@ -165,7 +165,7 @@ SELECT {key}, path || '.' || lpad((u.k)::VARCHAR, 4, '0'), depth + 1, u.r, u.a,
       SELECT *, unnest([list_sort(list_concat({judged('gx', 'r.x0', 'r.x1', 'x', 0, '0.04')}, {judged('gy', 'r.y0', 'r.y1', 'y', 1, '0.03')}))[1]]) AS c FROM (
        SELECT *, unnest([{free('ix', 'r.x0', 'r.x1')}]) AS gx, unnest([{free('iy', 'r.y0', 'r.y1')}]) AS gy FROM (
         SELECT *, unnest([{interval('x')}]) AS ix, unnest([{interval('y')}]) AS iy FROM tree WHERE len(a) > 1))))))))),
-nodes AS MATERIALIZED (SELECT {key}, t.path, left(t.path, greatest(len(t.path) - 5, 0)) AS parent_path, depth, ordinal, siblings, above, k.layout, CASE WHEN len(a) = 1 THEN a[1].no END AS no, a
+nodes AS MATERIALIZED (SELECT {key}, t.path, left(t.path, greatest(len(t.path) - 5, 0)) AS parent_path, depth, ordinal, siblings, above, fell, k.layout, CASE WHEN len(a) = 1 THEN a[1].no END AS no, a
   FROM tree t LEFT JOIN (SELECT {key}, left(path, len(path) - 5) AS path, min(above) AS layout FROM tree WHERE depth > 0 GROUP BY ALL) k USING ({key}, path)),
 ancestors AS (SELECT {key}, unnest(list_transform(range(0, depth + 1), lambda d: left(path, 4 + 5 * d))) AS path, a[1] AS x FROM nodes WHERE no IS NOT NULL),
 hulls AS MATERIALIZED (SELECT {key}, path, {{'x0': min(x.x0), 'y0': min(x.y0), 'x1': max(x.x1), 'y1': max(x.y1)}} AS b FROM ancestors GROUP BY {key}, path)"""
@@ -294,7 +294,7 @@ ORACLES: dict[str, str] = {
     "relative_position": f"WITH RECURSIVE {BOX_TREE} SELECT page, path, {relative('above', 'ordinal', 'siblings')} AS relative FROM nodes",
     "zone_clusters": f"WITH RECURSIVE {BOX_ZONES} SELECT DISTINCT page, x_zone_count, y_zone_count FROM zone_x JOIN zone_y USING (page, path)",
     "dynamic_position": f"WITH RECURSIVE {BOX_ZONES} SELECT page, path, x_zone, x_zone_count, y_zone, y_zone_count FROM zone_x JOIN zone_y USING (page, path)",
-    "fallback_flow": f"WITH RECURSIVE {BOX_TREE} SELECT n.page, n.path, n.no AS id, n.ordinal FROM nodes n JOIN (SELECT page, path FROM nodes p WHERE layout = 'vertical' AND len(p.a) > 2 AND (SELECT count(*) FROM nodes c WHERE c.page = p.page AND c.parent_path = p.path) > 2) f ON n.page = f.page AND n.parent_path = f.path",
+    "fallback_flow": f"WITH RECURSIVE {BOX_TREE} SELECT page, path, no AS id, ordinal FROM nodes WHERE fell",
     "flat_index": f"WITH {BOXES} SELECT page, id, (row_number() OVER (PARTITION BY page ORDER BY y0, x0, id) - 1)::INTEGER AS chunk_index FROM boxes",
     "parse_document": f"WITH RECURSIVE {CHUNKS} SELECT doc_id, page_number, path, parent_path, depth, ordinal, chunk_index, type, layout, {_SIDES}, content, content_raw, content_tagged, mime_type, x, y, coarse, x_zone, x_zone_count, y_zone, y_zone_count, relative_position FROM parsed",
     # views
