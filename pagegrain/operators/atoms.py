@@ -6,12 +6,14 @@ shuffled, and Python sees no row. Greedy steps are folds over a sorted array.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.functions import geometry as g
 from pagegrain.functions import text as t
-from pagegrain.runtime import distinct_by, unnest
+from pagegrain.runtime import once, unnest
 
 PAGE = ["doc_id", "page_number"]
 #: Fixed values of the extraction.
@@ -23,9 +25,22 @@ BACKGROUND_AREA, BACKGROUND_EDGE = 0.90, 3.0
 BACKGROUND_WITH_TEXT, BACKGROUND_COVERAGE = 0.65, 0.55
 
 
+@dataclass(frozen=True)
+class ParseOptions:
+    """What pages are parsed to: payloads of tables and images, images behind the text, groups or a flat list."""
+
+    include_table_base64: bool = True
+    include_image_base64: bool = True
+    skip_background_images: bool = True
+    enable_grouping: bool = True
+
+
 def distinct_pages(raw: DataFrame) -> DataFrame:
-    """Each page once, repeated deliveries left out; which of unequal ones stays isn't defined."""
-    return distinct_by(raw, PAGE)
+    """Each page once, repeated deliveries left out; which of unequal ones stays isn't defined.
+
+    Pages, with their payloads, aren't shuffled (``runtime.once``).
+    """
+    return once(raw, PAGE)
 
 
 def _array(column: str) -> Column:
@@ -155,17 +170,19 @@ def _atom(kind: str, rank: int, x: Column, k1: Column, k2: Column, k3: Column, *
     )
 
 
-def page_atoms(raw: DataFrame, include_table_base64: bool = True, include_image_base64: bool = True, skip_background_images: bool = True) -> DataFrame:
+def page_atoms(raw: DataFrame, **flags: bool) -> DataFrame:
     """``doc_id, page_number, rect, width, height, atoms``: the atoms of each page in reading order, in one array.
 
     Reading order is by top, then left side; of equal ones texts come before images
     before tables, texts as listed, images and tables by falling area. Null blocks
     and tables count as none; a page without atoms has the empty array; a rect
     that is null or lacks a side counts as an empty page, and a box that lacks one
-    as no box.
+    as no box. ``flags`` are those of ``ParseOptions``.
     """
+    options = ParseOptions(**flags)
     pages = with_sizes(raw.select(*PAGE, F.when(g.complete(F.col("rect")), F.col("rect")).otherwise(g.box(*[F.lit(0.0)] * 4)).alias("rect"), "blocks", "tables"))
-    pages = with_images(with_texts(with_text_boxes(with_tables(pages, include_table_base64))), include_image_base64, skip_background_images)
+    texts = with_texts(with_text_boxes(with_tables(pages, options.include_table_base64)))
+    pages = with_images(texts, options.include_image_base64, options.skip_background_images)
     png = F.lit("image/png")
     texts = F.transform("text_list", lambda x: _atom(
         "text", 0, x, F.lit(0.0), F.lit(0), x["no"], content=x["content"], content_raw=x["content_raw"], content_tagged=x["content_tagged"], line_count=x["line_count"], span_count=x["span_count"],
@@ -180,9 +197,9 @@ def page_atoms(raw: DataFrame, include_table_base64: bool = True, include_image_
 ATOM_FIELDS = ["type", "bbox", "content", "content_raw", "content_tagged", "mime_type", "line_count", "span_count", "char_count_raw", "char_count_clean", "source_block_type", "source_ext", "pixel_width", "pixel_height"]
 
 
-def extract_atoms(raw: DataFrame, include_table_base64: bool = True, include_image_base64: bool = True, skip_background_images: bool = True) -> DataFrame:
+def extract_atoms(raw: DataFrame, **flags: bool) -> DataFrame:
     """One row for each atom: page, ``atom_no`` (its place in reading order), ATOM_FIELDS and its places on the page."""
-    pages = page_atoms(raw, include_table_base64, include_image_base64, skip_background_images)
+    pages = page_atoms(raw, **flags)
     rows = unnest(pages, [*PAGE, "width", "height"], "atoms", "atom_no", "a")
     return rows.select(
         *PAGE, "atom_no", *(F.col(f"a.{c}").alias(c) for c in ATOM_FIELDS),

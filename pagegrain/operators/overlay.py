@@ -39,6 +39,7 @@ def candidates(b: Column, width: Column, is_group: Column, image_width: Column,
     mx, my, w = g.cx(b), g.cy(b), width.cast("double")
     above, below = y0 - height - margin, y1 + margin
     middle = my - height / 2.0
+    # fixed values: the eight places, in the order in which they are tried
     corners = [(x0, above, x0, y0), (x1 - w, above, x1, y0), (x1 + margin, middle, x1, my), (x0 - margin - w, middle, x0, my), (x0, below, x0, y1), (x1 - w, below, x1, y1), (mx - w / 2.0, above, mx, y0), (mx - w / 2.0, below, mx, y1)]
     places = []
     for left, top, ax, ay in corners:

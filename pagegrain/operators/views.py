@@ -26,23 +26,36 @@ def of_kind(chunks: DataFrame, kind: str) -> DataFrame:
     return chunks.where(F.col("type") == kind)
 
 
-def page_text(chunks: DataFrame, pages: DataFrame | None = None, form: str = "clean") -> DataFrame:
+def _page_texts(chunks: DataFrame, columns: list[Column], all_pages: bool) -> DataFrame:
+    """``PAGE, ts``: a page's text chunks in pre-order, repeats once, as structs of ``chunk_index, path`` and ``columns``.
+
+    One exchange, by page, of what ``columns`` need of text chunks; with
+    ``all_pages`` of the names of other chunks too, else the scan leaves them out.
+    """
+    rows = chunks if all_pages else of_kind(chunks, "text")
+    text = F.when(F.col("type") == "text", F.struct("chunk_index", "path", *columns)).alias("t")
+    pages = rows.select(*PAGE, text).groupBy(*PAGE).agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    first = lambda t, i: (i == 0) | ~t["path"].eqNullSafe(F.get(F.col("ts"), i - 1)["path"])
+    return pages.withColumn("ts", F.filter("ts", first))
+
+
+def page_text(chunks: DataFrame, pages: DataFrame | None = None, form: str = "clean", all_pages: bool = False) -> DataFrame:
     """``doc_id, page_number, text``: the page's texts in pre-order, an empty line between them.
 
-    With ``pages`` each of its pages has a row, one without text the empty text.
-    Null texts are left out.
+    A page without text has a row, with the empty text, if it is in ``pages``, or
+    if ``all_pages`` and any chunk is on it. Null texts are left out; repeated
+    deliveries of a chunk count once.
     """
-    content = F.col(TEXTS[form]).alias("t")
-    texts = of_kind(chunks, "text").groupBy(*PAGE).agg(F.collect_list(F.struct("chunk_index", content)).alias("ts"))
-    joined = texts.select(*PAGE, F.array_join(F.transform(F.array_sort("ts"), lambda x: x["t"]), "\n\n").alias("text"))
+    texts = _page_texts(chunks, [F.col(TEXTS[form]).alias("t")], all_pages)
+    joined = texts.select(*PAGE, F.array_join(F.transform("ts", lambda x: x["t"]), "\n\n").alias("text"))
     if pages is None:
         return joined
     return pages.select(*PAGE).distinct().join(joined, PAGE, "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def page_blocks(chunks: DataFrame) -> DataFrame:
-    """``doc_id, page_number, block_index, bbox, text``: the text chunks of a page, numbered in pre-order."""
-    texts = of_kind(chunks, "text").groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "bbox", F.col("content").alias("text")))).alias("ts"))
+    """``doc_id, page_number, block_index, bbox, text``: the text chunks of a page, repeats once, numbered in pre-order."""
+    texts = _page_texts(chunks, [F.col("bbox"), F.col("content").alias("text")], all_pages=False)
     return texts.select(*PAGE, F.posexplode("ts").alias("block_index", "t")).select(*PAGE, "block_index", "t.bbox", "t.text")
 
 
@@ -111,11 +124,15 @@ def json_of_pages(pages: DataFrame) -> DataFrame:
     return counted.select(*PAGE, _page_text_json(_tree_text("ns"), list(_COUNTS)).alias("json"))
 
 
-def document_json(page_jsons: DataFrame) -> DataFrame:
-    """``doc_id, json``: a document's pages in order.
+def document_json(page_jsons: DataFrame, pages_a_part: int = 100) -> DataFrame:
+    """``doc_id, part_no, n_pages, json``: a document as objects of ``pages`` in order, one for each stretch of pages.
 
-    The result holds a whole document in one value, at most 2 GB; for larger ones
-    keep to the rows of ``page_json``.
+    Part k holds the pages from k * pages_a_part + 1 on, so that no task and no
+    value holds more than that many pages, however long a document is; one within
+    that is whole in its part 0. Pages without a number are in a part of their own,
+    with a null ``part_no``. Nothing is shuffled but the pages, by document and part.
     """
-    pages = page_jsons.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "json"))).alias("ps"))
-    return pages.select("doc_id", F.concat(F.lit('{"pages":['), F.array_join(F.transform("ps", lambda p: p["json"]), ","), F.lit("]}")).alias("json"))
+    part = F.floor((F.col("page_number") - 1) / pages_a_part).cast("int")
+    pages = page_jsons.groupBy("doc_id", part.alias("part_no")).agg(F.array_sort(F.collect_list(F.struct("page_number", "json"))).alias("ps"))
+    text = F.concat(F.lit('{"pages":['), F.array_join(F.transform("ps", lambda p: p["json"]), ","), F.lit("]}"))
+    return pages.select("doc_id", "part_no", F.size("ps").alias("n_pages"), text.alias("json"))

@@ -3,29 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pagegrain.operators import atoms, layout
+from pagegrain.operators.atoms import ParseOptions
+from pagegrain.sources.raw import at_page
 
 
-def parsed_pages(raw: DataFrame, include_table_base64: bool = True, include_image_base64: bool = True, skip_background_images: bool = True, enable_grouping: bool = True) -> DataFrame:
-    """One row for each page with its ``atoms`` and ``nodes``; nothing is shuffled. Streams may be parsed too."""
-    pages = atoms.page_atoms(raw, include_table_base64, include_image_base64, skip_background_images)
-    return layout.grouped_nodes(pages) if enable_grouping else layout.flat_nodes(pages)
+def parsed_pages(raw: DataFrame, **flags: bool) -> DataFrame:
+    """One row for each page with its ``atoms`` and ``nodes``; nothing is shuffled. Streams may be parsed too.
+
+    ``flags`` are those of ``ParseOptions``.
+    """
+    pages = atoms.page_atoms(raw, **flags)
+    return layout.grouped_nodes(pages) if ParseOptions(**flags).enable_grouping else layout.flat_nodes(pages)
 
 
-def parse_document(raw: DataFrame, include_table_base64: bool = True, include_image_base64: bool = True, skip_background_images: bool = True, enable_grouping: bool = True) -> tuple[DataFrame, DataFrame]:
+def parse_document(raw: DataFrame, **flags: bool) -> tuple[DataFrame, DataFrame]:
     """The tables of chunks and of pages. Repeated pages give repeated rows: use ``distinct_pages`` first where they may occur."""
-    pages = parsed_pages(raw, include_table_base64, include_image_base64, skip_background_images, enable_grouping)
-    return layout.chunk_rows(pages, enable_grouping), atoms.page_counts(pages)
+    pages = parsed_pages(raw, **flags)
+    return layout.chunk_rows(pages, ParseOptions(**flags).enable_grouping), atoms.page_counts(pages)
 
 
-def parse_page(raw: DataFrame, doc_id: str, page_number: int, **flags: bool) -> tuple[DataFrame, DataFrame]:
-    """As ``parse_document`` for one page; only that page is read. A number below 1 raises ValueError.
+def parse_page(raw: DataFrame, doc_id: str, number: int, **flags: bool) -> tuple[DataFrame, DataFrame]:
+    """As ``parse_document`` for one page of a document, which is all that is read of the payloads.
 
-    A number beyond the document's last page gives empty tables: checking it costs
-    a look at the whole document (``sources.raw.validate_page_number``).
+    A number the document's pages don't reach raises ValueError (``sources.raw.at_page``).
     """
-    if page_number < 1:
-        raise ValueError("page_number must be at least 1")
-    return parse_document(raw.where((F.col("doc_id") == doc_id) & (F.col("page_number") == page_number)), **flags)
+    return parse_document(at_page(raw, number, doc_id), **flags)

@@ -12,6 +12,7 @@ from pagegrain.functions import text as t
 from pagegrain.operators import atoms, intervals, layout, nested, overlay, views
 from pagegrain.plans import fixtures, oracle, parse
 from pagegrain.runtime import table, unnest
+from pagegrain.sources.raw import at_page
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -374,7 +375,9 @@ def fallback_flow(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def flat_index(spark: SparkSession, d: str) -> DataFrame:
-    return _box_pages(spark, d).select("page", F.posexplode("ids").alias("chunk_index", "id"))
+    pages = layout.flat_nodes(_box_pages(spark, d).withColumn("atoms", F.transform("bs", lambda b: F.struct(b.alias("bbox")))))
+    rows = unnest(pages, ["page", "ids"], "nodes", "chunk_index", "n")
+    return rows.select("page", "chunk_index", F.get(F.col("ids"), F.col("n.atom_no")).alias("id"))
 
 
 # --- parsing and views
@@ -382,7 +385,10 @@ def flat_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def parse_document(spark: SparkSession, d: str) -> DataFrame:
-    rows, _ = parse.parse_document(_raw(spark, d))
+    return _plain_chunks(parse.parse_document(_raw(spark, d))[0])
+
+
+def _plain_chunks(rows: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id", "page_number", "path", "parent_path", "depth", "ordinal", "chunk_index", "type", "layout", *_sides("bbox"), "content", "content_raw", "content_tagged", "mime_type",
         "position_normalized.x", "position_normalized.y", F.col("absolute_position_coarse").alias("coarse"), "absolute_position_dynamic.*", "relative_position",
@@ -417,7 +423,7 @@ def parent_children(spark: SparkSession, d: str) -> DataFrame:
 
 def _page_text(form: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return views.page_text(_chunks(spark, d), table(spark, d, "chunks"), form)
+        return views.page_text(table(spark, d, "chunks"), form=form, all_pages=True)
 
     return run
 
@@ -427,12 +433,20 @@ QUERIES |= {"page_text": _page_text("clean"), "page_text_raw": _page_text("raw")
 
 @query
 def page_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return views.page_blocks(_chunks(spark, d)).select("doc_id", "page_number", "block_index", *_sides("bbox"), "text")
+    return views.page_blocks(table(spark, d, "chunks")).select("doc_id", "page_number", "block_index", *_sides("bbox"), "text")
 
 
 @query
 def point_page(spark: SparkSession, d: str) -> DataFrame:
-    return views.distinct_chunks(table(spark, d, "chunks").where("page_number = 2")).select("chunk_id", "path", "type")
+    return views.distinct_chunks(at_page(table(spark, d, "chunks"), 2)).select("chunk_id", "path", "type")
+
+
+@query
+def parse_page(spark: SparkSession, d: str) -> DataFrame:
+    """The lookup of one page, that of the first document's last number, among all."""
+    raw = _raw(spark, d)
+    doc, number = raw.agg(F.min_by(F.struct("doc_id", "page_number"), F.struct("doc_id", -F.col("page_number"))).alias("p")).first().p
+    return _plain_chunks(parse.parse_page(raw, doc, number)[0])
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
@@ -449,6 +463,24 @@ def document_json(spark: SparkSession, d: str) -> DataFrame:
     return views.document_json(views.json_of_pages(_parsed(spark, d)))
 
 
+@query
+def page_json_tree(spark: SparkSession, d: str) -> DataFrame:
+    """What the JSON of pages holds when it is read again: nodes by their place in the tree."""
+    flat = nested.flatten_records(views.json_of_pages(_parsed(spark, d)).withColumn("body", F.concat(F.lit('{"pages":['), F.col("json"), F.lit("]}"))).withColumn("key", F.concat_ws("/", *atoms.PAGE)), "key")
+    nodes = flat.where("table_name = 'pages.chunks'")
+    of = lambda name: F.expr(f"fields['{name}']")
+    return nodes.select("key", "node_path", "parent_path", of("type").alias("type"), of("layout").alias("layout"), of("chunk_index").cast("int").alias("chunk_index"), of("absolute_position_coarse").alias("coarse"), of("relative_position").alias("relative_position"), of("content").alias("content"), of("bbox.x0").cast("double").alias("x0"), of("bbox.y1").cast("double").alias("y1"))
+
+
+@query
+def document_json_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of documents, with the numbers of the pages and chunks each holds when it is read again."""
+    parts = views.document_json(views.json_of_pages(_parsed(spark, d)), pages_a_part=3)
+    flat = nested.flatten_records(parts.select(F.concat_ws("/", "doc_id", "part_no").alias("key"), "json"), "key", "json", with_fields=False)
+    count = lambda name: F.count(F.when(F.col("table_name") == name, 1))
+    return flat.groupBy("key").agg(count("pages").alias("n_pages"), count("pages.chunks").alias("n_chunks"))
+
+
 @query
 def overlay_candidates(spark: SparkSession, d: str) -> DataFrame:
     boxes = _boxes(spark, d).withColumn("s", g.scale(F.col("b"), 2.0))
@@ -462,6 +494,16 @@ def overlay_svg(spark: SparkSession, d: str) -> DataFrame:
     return overlay.svg_of_pages(_parsed(spark, d))
 
 
+@query
+def overlay_frames(spark: SparkSession, d: str) -> DataFrame:
+    """The frames in the drawings of pages, read again from their text: place, size and colour of each."""
+    drawn = overlay.svg_of_pages(_parsed(spark, d), show_labels=False)
+    frames = F.regexp_extract_all("svg", F.lit("<rect ([^>]*)/>"), 1)
+    rows = unnest(drawn, atoms.PAGE, frames, "at", "f")
+    value = lambda name: F.regexp_extract("f", f'(?:^| ){name}="([^"]*)"', 1)
+    return rows.select(*atoms.PAGE, "at", *(value(n).cast("double").alias(n) for n in ("x", "y", "width", "height")), value("stroke").alias("colour"), value("stroke-width").cast("int").alias("line_width"))
+
+
 # --- problem 6: nested records
 
 
