@@ -9,7 +9,7 @@ is one table whose rows name their parent by its ordinals.
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from json.decoder import scanstring
@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-OBJECT = object()
+_BLANKS = " \t\n\r"
+_BLANK = re.compile(f"[{_BLANKS}]*").match
 
 
 @dataclass(frozen=True)
@@ -55,149 +56,161 @@ class RecordShape:
         return f"{ancestor}.{leaf}" if ancestor else leaf
 
 
-def _refuse(constant: str) -> None:
-    raise ValueError(f"{constant} is not JSON")
+class _Open:
+    """An object or array that hasn't ended yet, and where its values go."""
 
+    __slots__ = ("fields", "index", "is_object", "keys", "kept", "leaf", "ordinals", "start", "table")
 
-def parse(body: str | None) -> tuple[bool, object]:
-    """Whether ``body`` is valid JSON, and its value. Null is not."""
+    def __init__(self, is_object: bool, table: str, ordinals: tuple[int, ...], fields: dict | None, leaf: str, start: int):
+        self.is_object, self.table, self.ordinals, self.fields, self.leaf, self.start = is_object, table, ordinals, fields, leaf, start
+        self.index, self.kept = 0, leaf
+        self.keys: dict[str, tuple] = {}
+
+
+def read_record(body: str | None, shape: RecordShape) -> list[tuple[str, tuple[int, ...], dict[str, str | None]]]:
+    """``table, ordinals, fields`` of each object in an array, parents before children; none if ``body`` isn't a valid JSON object.
+
+    One pass over the text as a stream of tokens: each scalar is a triple of its
+    path below the last repeated ancestor, its value as text and that ancestor's
+    ordinals, and is put where it belongs at once. No tree is built, and open
+    objects are on a stack of their own, so that no depth is too large. Numbers keep their text; an array
+    in an array is one value, its JSON.
+    """
+    rows: list = []
     if body is None:
-        return False, None
+        return rows
     try:
-        return True, json.loads(body, parse_constant=_refuse)
-    except RecursionError:
-        return _parse_deep(body)
-    except json.JSONDecodeError:
-        return False, None
-    except ValueError:  # a constant, or an integer beyond Python's limit of digits
-        try:
-            return True, json.loads(body, parse_constant=_refuse, parse_int=str)
-        except ValueError:
-            return False, None
-
-
-def _parse_deep(body: str) -> tuple[bool, object]:
-    """As ``parse``, with a stack of its own, for records nested beyond Python's limit."""
-    at, n = 0, len(body)
-    done: list[object] = []
-    open_: list[tuple[object, str | None]] = []
-    key: str | None = None
-
-    def skip() -> None:
-        nonlocal at
-        while at < n and body[at] in " \t\n\r":
-            at += 1
+        _read(body, shape, rows)
+    except (ValueError, IndexError):
+        return []
+    return [r for r in rows if r]
 
-    def read_key() -> str:
-        nonlocal at
-        skip()
-        if body[at] != '"':
-            raise ValueError
-        text, at = scanstring(body, at + 1, True)
-        skip()
-        if body[at] != ":":
-            raise ValueError
-        at += 1
-        return text
 
-    try:
-        while True:
-            skip()
-            ch = body[at]
-            if ch in "{[":
-                at += 1
-                box: object = {} if ch == "{" else []
-                skip()
-                if body[at] not in "}]":
-                    open_.append((box, key))
-                    key = read_key() if ch == "{" else None
-                    continue
-                if body[at] != {"{": "}", "[": "]"}[ch]:
+def _after_blanks(body: str, at: int) -> int:
+    return _BLANK(body, at).end()
+
+
+def _forget(box: _Open, key: str, rows: list) -> None:
+    """Undoes what an earlier value of ``key`` in this object gave: of repeated keys the last holds."""
+    row_from, row_to, paths = box.keys.pop(key)
+    rows[row_from:row_to] = [None] * (row_to - row_from)
+    if box.fields is not None:
+        for path in [p for p in box.fields if p in paths or p.startswith((f"{paths[0]}.", f"{paths[0]}["))]:
+            del box.fields[path]
+
+
+def _read(body: str, shape: RecordShape, rows: list) -> None:
+    """Fills ``rows`` from ``body``; ValueError or IndexError if it isn't valid."""
+    at = _after_blanks(body, 0)
+    if body[at] != "{":
+        return
+    root: dict = {}
+    rows.append(("", (), root))
+    box = _Open(True, "", (), root, "", at)
+    stack = [box]
+    at = _after_blanks(body, at + 1)
+    first = True
+    while True:
+        # an object or array is open: its next key and value, or its end
+        ch = body[at]
+        if ch == ("}" if box.is_object else "]"):
+            if not first and body[_last_sign(body, at)] == ",":
+                raise ValueError
+            at += 1
+            stack.pop()
+            if not stack:
+                if _after_blanks(body, at) != len(body):
                     raise ValueError
+                return
+            ended, box = box, stack[-1]
+            if ended.fields is None and box.fields is not None:  # an array in an array
+                box.fields[f"{box.leaf}[{box.index}]"] = body[ended.start : at]
+        else:
+            if box.is_object:
+                if ch != '"':
+                    raise ValueError
+                key, at = scanstring(body, at + 1, True)
+                if body[at] != ":":
+                    at = _after_blanks(body, at)
+                    if body[at] != ":":
+                        raise ValueError
                 at += 1
-                value: object = box
-            elif ch == '"':
+                leaf = f"{box.kept}.{key}" if box.kept else key
+                if key in box.keys:
+                    _forget(box, key, rows)
+                box.keys[key] = (len(rows), len(rows), (leaf,))
+                box.leaf = leaf
+                ch = body[at]
+                if ch in _BLANKS:
+                    at = _after_blanks(body, at)
+                    ch = body[at]
+            else:
+                leaf = ""
+            fields = box.fields
+            if ch == '"':
                 value, at = scanstring(body, at + 1, True)
-            elif word := next((w for w in ("true", "false", "null") if body.startswith(w, at)), None):
-                value = {"true": True, "false": False, "null": None}[word]
-                at += len(word)
+            elif ch == "{":
+                inner = _enter_object(box, shape, rows, at)
+                stack.append(inner)
+                box, first = inner, True
+                at = _after_blanks(body, at + 1)
+                continue
+            elif ch == "[":
+                inner = _Open(False, box.table, box.ordinals, fields if box.is_object else None, box.leaf, at)
+                stack.append(inner)
+                box, first = inner, True
+                at = _after_blanks(body, at + 1)
+                continue
             elif m := NUMBER_RE.match(body, at):
-                value, at = m.group(0), m.end()
+                value, at = m.group(), m.end()
+            elif body.startswith("null", at):
+                value, at = None, at + 4
+            elif body.startswith("true", at):
+                value, at = "true", at + 4
+            elif body.startswith("false", at):
+                value, at = "false", at + 5
             else:
                 raise ValueError
-            while True:  # put the value where it belongs, closing what ends here
-                if not open_:
-                    done.append(value)
-                    break
-                box, outer_key = open_[-1]
-                if isinstance(box, dict):
-                    box[key] = value
-                else:
-                    box.append(value)
-                skip()
-                if body[at] == ",":
-                    at += 1
-                    key = read_key() if isinstance(box, dict) else None
-                    break
-                if body[at] != ("}" if isinstance(box, dict) else "]"):
-                    raise ValueError
-                at += 1
-                open_.pop()
-                value, key = box, outer_key
-            if done:
-                skip()
-                return (True, done[0]) if at == n else (False, None)
-    except (ValueError, IndexError):
-        return False, None
+            if fields is not None:
+                if box.is_object:
+                    fields[leaf] = value
+                elif value is not None:
+                    fields[f"{box.leaf}[{box.index}]"] = value
+        # a value has ended: what follows it
+        if box.is_object:
+            key_from = next(reversed(box.keys))
+            if (now := len(rows)) != box.keys[key_from][1]:
+                box.keys[key_from] = (box.keys[key_from][0], now, box.keys[key_from][2])
+        else:
+            box.index += 1
+        first = False
+        ch = body[at]
+        if ch in _BLANKS:
+            at = _after_blanks(body, at)
+            ch = body[at]
+        if ch == ",":
+            at = _after_blanks(body, at + 1)
+        elif ch != ("}" if box.is_object else "]"):
+            raise ValueError
 
 
-def triples(root: object, shape: RecordShape) -> Iterator[tuple[str, tuple[int, ...], str, object]]:
-    """``ancestor, ordinals, leaf path, value`` of a parsed record, parents before children.
+def _last_sign(body: str, at: int) -> int:
+    at -= 1
+    while body[at] in _BLANKS:
+        at -= 1
+    return at
 
-    An object that is an array's element first gives the value OBJECT with an
-    empty leaf path. Arrays without objects give one triple for each element.
-    """
-    stack: list[tuple[object, str, tuple[int, ...], str]] = [(root, "", (), "")]
-    while stack:
-        value, ancestor, ordinals, leaf = stack.pop()
-        if isinstance(value, dict):
-            if leaf and shape.alone(ancestor, leaf):
-                value = [value]
-            else:
-                if not leaf:
-                    yield ancestor, ordinals, "", OBJECT
-                stack += [(v, ancestor, ordinals, f"{leaf}.{k}" if leaf else k) for k, v in reversed(value.items())]
-                continue
-        if isinstance(value, list):
-            if any(isinstance(v, dict) for v in value):
-                table = shape.below(ancestor, leaf)
-                stack += [(v, table, (*ordinals, i), "") for i, v in reversed(list(enumerate(value))) if isinstance(v, dict)]
-            for i, v in enumerate(value):
-                if not isinstance(v, dict) and v is not None:
-                    yield ancestor, ordinals, f"{leaf}[{i}]", v
-            continue
-        yield ancestor, ordinals, leaf, value
-
-
-def _text(value: object) -> str | None:
-    if value is None or isinstance(value, str):
-        return value
-    return json.dumps(value, ensure_ascii=False)
-
-
-def rows_of(body: str | None, shape: RecordShape, with_fields: bool) -> Iterator[tuple]:
-    """The rows of one record: table, page index, ordinals, fields."""
-    valid, root = parse(body)
-    if not valid or not isinstance(root, dict):
-        return
-    rows: dict[tuple[str, tuple[int, ...]], dict[str, str | None]] = {}
-    for ancestor, ordinals, leaf, value in triples(root, shape):
-        if value is OBJECT:
-            rows[ancestor, ordinals] = {}
-        elif with_fields or (ancestor == shape.outer and leaf == "page_number"):
-            rows[ancestor, ordinals][leaf] = _text(value)
-    for (ancestor, ordinals), fields in rows.items():
-        yield ancestor, ordinals, fields
+
+def _enter_object(box: _Open, shape: RecordShape, rows: list, at: int) -> _Open:
+    """An object that begins: a row of its own as an array's element or where it stands for an array of one, else part of its row."""
+    if box.fields is None:
+        return _Open(True, box.table, box.ordinals, None, "", at)
+    if box.is_object and not shape.alone(box.table, box.leaf):
+        return _Open(True, box.table, box.ordinals, box.fields, box.leaf, at)
+    fields: dict = {}
+    table, ordinals = shape.below(box.table, box.leaf), (*box.ordinals, box.index if not box.is_object else 0)
+    rows.append((table, ordinals, fields))
+    return _Open(True, table, ordinals, fields, "", at)
 
 
 def flatten_records(df: DataFrame, id_col: str = "record_id", body_col: str = "body", shape: RecordShape = RecordShape(), with_fields: bool = True) -> DataFrame:
@@ -221,14 +234,13 @@ def flatten_records(df: DataFrame, id_col: str = "record_id", body_col: str = "b
             ids: list[int] = []
             out: list[tuple] = []
             for i, body in enumerate(batch.column(1).to_pylist()):
-                numbers: dict[tuple[int, ...], int | None] = {}
-                for table, ordinals, fields in rows_of(body, shape, with_fields):
-                    if table == shape.outer:
-                        numbers[ordinals] = _int(fields.get("page_number"))
+                read = read_record(body, shape)
+                numbers = {ordinals: _int(fields.get("page_number")) for table, ordinals, fields in read if table == shape.outer}
+                for table, ordinals, fields in read:
                     inside = shape.inside(table)
                     inner = [f"{x:04d}" for x in (ordinals[1:] if inside else ordinals)]
                     ids.append(i)
-                    out.append((table, numbers.get(ordinals[:1]) if inside else None, ".".join(inner), ".".join(inner[:-1]), ordinals[-1] if ordinals else 0, ordinals[0] if inside and ordinals else None, list(fields.items()) if with_fields else []))
+                    out.append((table, numbers.get(ordinals[:1]) if inside else None, ".".join(inner), ".".join(inner[:-1]), ordinals[-1] if ordinals else 0, ordinals[0] if inside and ordinals else None, fields))
                 if len(out) > 20_000:
                     yield _batch(batch, ids, out, with_fields)
                     ids, out = [], []
@@ -247,13 +259,25 @@ def _int(text: str | None) -> int | None:
         return None
 
 
+def _strings(values: list[str | None]) -> pa.Array:
+    """An array of texts; halves of surrogate pairs, which JSON may name but no text may hold, become question marks."""
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([None if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
+
+
 def _batch(batch: pa.RecordBatch, ids: list[int], out: list[tuple], with_fields: bool) -> pa.RecordBatch:
     names = ["id", "table_name", "page_number", "node_path", "parent_path", "ordinal", "page_index"]
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+    kinds = [None, pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
     columns = list(zip(*out, strict=True)) if out else [()] * 7
-    arrays = [batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))]
+    arrays = [batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, k) if k else _strings(list(c)) for c, k in zip(columns, kinds, strict=False))]
     if with_fields:
-        arrays.append(pa.array(columns[6], pa.map_(pa.string(), pa.string())))
+        ends = [0]
+        for fields in columns[6]:
+            ends.append(ends[-1] + len(fields))
+        keys, values = [k for fields in columns[6] for k in fields], [v for fields in columns[6] for v in fields.values()]
+        arrays.append(pa.MapArray.from_arrays(pa.array(ends, pa.int32()), _strings(keys), _strings(values)))
         names.append("fields")
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -291,6 +315,12 @@ def page_table(flat: DataFrame, id_col: str = "record_id", shape: RecordShape =
     return flat.where(F.col("table_name") == shape.outer).select(id_col, "page_index", "page_number", _number("width").alias("width"), _number("height").alias("height"), F.expr("try_cast(fields['debug.atom_count'] AS int)").alias("atom_count"), rest)
 
 
+def found_nodes(flat: DataFrame, id_col: str = "record_id") -> DataFrame:
+    """``id_col, page_number, node_path, parent_path`` of the pivoted tables of groups and of leaves."""
+    keys = [id_col, "page_number", "node_path", "parent_path"]
+    return node_table(flat, True, id_col).select(*keys).unionByName(node_table(flat, False, id_col).select(*keys))
+
+
 def node_table(flat: DataFrame, groups: bool, id_col: str = "record_id", shape: RecordShape = RecordShape()) -> DataFrame:
     """One row for each chunk object: the groups, or the leaves (all others); ``rest`` has the fields without a column."""
     is_group = F.coalesce(F.expr("fields['type']"), F.lit("")) == "group"
@@ -318,6 +348,16 @@ def note_table(flat: DataFrame, id_col: str = "record_id", shape: RecordShape =
     return flat.where(F.col("table_name") == shape.notes).select(id_col, "page_index", "page_number", "node_path", "parent_path", "ordinal", F.expr("fields['kind']").alias("kind"), _box(), tags.alias("tags"), rest)
 
 
+def rest_table(flat: DataFrame, id_col: str = "record_id", shape: RecordShape = RecordShape()) -> DataFrame:
+    """One row for each field that no column of the tables of pages, groups, leaves and annotations holds: its path below its object, and its value as text."""
+    tables = [page_table(flat, id_col, shape).withColumn("node_path", F.lit("")), node_table(flat, True, id_col, shape), node_table(flat, False, id_col, shape), note_table(flat, id_col, shape)]
+    rows = None
+    for name, of in zip((shape.outer, shape.items, shape.items, shape.notes), tables, strict=True):
+        part = of.select(id_col, F.lit(name).alias("table_name"), "page_index", "node_path", F.explode("rest").alias("path", "value"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 def other_table(flat: DataFrame, id_col: str = "record_id", shape: RecordShape = RecordShape()) -> DataFrame:
     """One row for each object of any array without a table of its own, under the array's name."""
     return flat.where(~F.col("table_name").isin("", shape.outer, shape.items, shape.notes)).select(id_col, "table_name", "page_index", "page_number", "node_path", "parent_path", "ordinal", "fields")

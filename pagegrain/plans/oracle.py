@@ -225,11 +225,27 @@ def _elements(value: str) -> str:
 
 
 _RECORDS = f"""WITH RECURSIVE valid AS (SELECT record_id, body::JSON AS j FROM page_records WHERE body IS NOT NULL AND json_valid(body)),
-record_pages AS (SELECT record_id, unnest({_elements("(j->'pages')")}) AS p FROM valid WHERE json_type(j) = 'OBJECT'),
-tops AS (SELECT record_id, (p->>'page_number')::INTEGER AS page_number, {_elements("(p->'chunks')")} AS kids FROM record_pages WHERE json_type(p) = 'OBJECT'),
-walk AS (SELECT record_id, page_number, lpad((i - 1)::VARCHAR, 4, '0') AS node_path, '' AS parent_path, n FROM (SELECT record_id, page_number, unnest(kids) AS n, generate_subscripts(kids, 1) AS i FROM tops)
-UNION ALL SELECT record_id, page_number, node_path || '.' || lpad((i - 1)::VARCHAR, 4, '0'), node_path, c FROM (SELECT record_id, page_number, node_path, unnest(kids) AS c, generate_subscripts(kids, 1) AS i
-  FROM (SELECT record_id, page_number, node_path, {_elements("(n->'children')")} AS kids FROM walk WHERE json_type(n) = 'OBJECT')))"""
+record_pages AS (SELECT record_id, page_index::INTEGER - 1 AS page_index, p FROM (SELECT record_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS page_index FROM (SELECT record_id, {_elements("(j->'pages')")} AS ps FROM valid WHERE json_type(j) = 'OBJECT')) WHERE json_type(p) = 'OBJECT'),
+tops AS (SELECT record_id, page_index, (p->>'page_number')::INTEGER AS page_number, {_elements("(p->'chunks')")} AS kids FROM record_pages),
+walk AS (SELECT record_id, page_index, page_number, lpad((i - 1)::VARCHAR, 4, '0') AS node_path, '' AS parent_path, (i - 1)::INTEGER AS ordinal, n FROM (SELECT record_id, page_index, page_number, unnest(kids) AS n, generate_subscripts(kids, 1) AS i FROM tops)
+UNION ALL SELECT record_id, page_index, page_number, node_path || '.' || lpad((i - 1)::VARCHAR, 4, '0'), node_path, (i - 1)::INTEGER, c FROM (SELECT record_id, page_index, page_number, node_path, unnest(kids) AS c, generate_subscripts(kids, 1) AS i
+  FROM (SELECT record_id, page_index, page_number, node_path, {_elements("(n->'children')")} AS kids FROM walk WHERE json_type(n) = 'OBJECT'))),
+chunk_objects AS MATERIALIZED (SELECT * FROM walk WHERE json_type(n) = 'OBJECT'),
+notes AS (SELECT record_id, page_index, page_number, node_path || '.' || lpad((i - 1)::VARCHAR, 4, '0') AS node_path, node_path AS parent_path, (i - 1)::INTEGER AS ordinal, n FROM (SELECT record_id, page_index, page_number, node_path, unnest(l) AS n, generate_subscripts(l, 1) AS i
+  FROM (SELECT record_id, page_index, page_number, node_path, json_extract((n->'annotations'), '$[*]') AS l FROM chunk_objects WHERE json_type(n->'annotations') = 'ARRAY')) WHERE json_type(n) = 'OBJECT')"""
+
+
+def _scalar(path: str, kind: str = "VARCHAR") -> str:
+    """A value below the object ``n`` as plain text or number; null for objects, arrays and what isn't of the kind."""
+    value = "n" + "".join(f"->{step}" if step.isdigit() else f"->'{step}'" for step in path.split("."))
+    return f"(CASE WHEN json_type(({value})) NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN try_cast((({value}) ->> '$') AS {kind}) END)"
+
+
+_NODE_BOX = ", ".join("coalesce(" + _scalar(f"bbox.{s}", "DOUBLE") + ", " + _scalar(f"bbox.{k}", "DOUBLE") + f") AS {s}" for k, s in enumerate(("x0", "y0", "x1", "y1")))
+_NODE_KEYS = "record_id, page_index, page_number, node_path, parent_path, ordinal"
+_NODE = f"{_NODE_KEYS}, {_scalar('chunk_index', 'INTEGER')} AS chunk_index, {_scalar('type')} AS type, {_NODE_BOX}, {_scalar('size_normalized.w', 'DOUBLE')} AS w, {_scalar('size_normalized.h', 'DOUBLE')} AS h"
+_GROUPS = f"coalesce({_scalar('type')}, '') = 'group'"
+_TAGS = "coalesce(array_to_string(list_transform(list_filter(list_transform(CASE WHEN json_type(n->'tags') = 'ARRAY' THEN json_extract((n->'tags'), '$[*]') ELSE [] END, lambda t, i: {'i': i - 1, 't': t}), lambda x: json_type(x.t) <> 'NULL'), lambda x: x.i || '=' || (x.t ->> '$')), ','), '')"
 
 _PLACES = f"""{BOXES}, scaled AS (SELECT page, id, x0 * 2 AS x0, y0 * 2 AS y0, x1 * 2 AS x1, y1 * 2 AS y1, greatest(20, 7 * length(kind)) + 8::DOUBLE AS w, 18::DOUBLE AS h, 8 * CASE WHEN kind = 'table' THEN 1.8::DOUBLE ELSE 1::DOUBLE END AS m FROM boxes),
 middled AS (SELECT *, (x0 + x1) / 2 AS mx, (y0 + y1) / 2 AS my FROM scaled),
@@ -243,7 +259,11 @@ ORACLES: dict[str, str] = {
     # overlays
     "overlay_candidates": f"WITH {_PLACES} SELECT page, id, place_no, p.l + dx AS x0, p.t + dy AS y0, p.l + w + dx AS x1, p.t + h + dy AS y1, p.ax AS ax, p.ay AS ay FROM moved",
     # nested records
-    "p6_found": f"{_RECORDS} SELECT record_id, page_number, node_path, parent_path FROM walk WHERE json_type(n) = 'OBJECT'",
+    "p6_found": f"{_RECORDS} SELECT record_id, page_number, node_path, parent_path FROM chunk_objects",
+    "p6_pages": f"{_RECORDS} SELECT record_id, page_index, (n->>'page_number')::INTEGER AS page_number, {_scalar('width', 'DOUBLE')} AS width, {_scalar('height', 'DOUBLE')} AS height, {_scalar('debug.atom_count', 'INTEGER')} AS atom_count FROM (SELECT record_id, page_index, p AS n FROM record_pages)",
+    "p6_groups": f"{_RECORDS} SELECT {_NODE}, {_scalar('layout')} AS layout FROM chunk_objects WHERE {_GROUPS}",
+    "p6_leaves": f"{_RECORDS} SELECT {_NODE}, {_scalar('content')} AS content, {_scalar('mime_type')} AS mime_type, {_scalar('debug.line_count', 'INTEGER')} AS line_count, {_scalar('debug.dropped_reason')} AS dropped_reason FROM chunk_objects WHERE NOT {_GROUPS}",
+    "p6_annotations": f"{_RECORDS} SELECT {_NODE_KEYS}, {_scalar('kind')} AS kind, {_NODE_BOX}, {_TAGS} AS tags FROM notes",
     # geometry
     "bbox_measures": f"WITH {BOXES} SELECT page, id, {w('boxes')} AS width, {h('boxes')} AS height, {area('boxes')} AS area, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM boxes",
     "bbox_union": f"WITH {BOXES} SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM boxes GROUP BY page",

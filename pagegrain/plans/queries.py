@@ -507,40 +507,55 @@ def overlay_frames(spark: SparkSession, d: str) -> DataFrame:
 # --- problem 6: nested records
 
 
+def _flat(spark: SparkSession, d: str) -> DataFrame:
+    return nested.flatten_records(table(spark, d, "page_records"))
+
+
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    flat = nested.flatten_records(table(spark, d, "page_records"), with_fields=False)
-    return flat.where(F.col("table_name") == nested.RecordShape().items).select("record_id", "page_number", "node_path", "parent_path")
+    return nested.found_nodes(_flat(spark, d))
+
+
+def _columns(rows: DataFrame) -> DataFrame:
+    """A table's own columns, its box as four; ``p6_rest`` has the fields without one."""
+    rows = rows.drop("rest")
+    return rows.select(*(c for c in rows.columns if c != "bbox"), *_sides("bbox")) if "bbox" in rows.columns else rows
 
 
 @query
 def p6_pages(spark: SparkSession, d: str) -> DataFrame:
-    return nested.page_table(nested.flatten_records(table(spark, d, "page_records")))
+    return _columns(nested.page_table(_flat(spark, d)))
 
 
 @query
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
-    return nested.node_table(nested.flatten_records(table(spark, d, "page_records")), groups=True)
+    return _columns(nested.node_table(_flat(spark, d), groups=True))
 
 
 @query
 def p6_leaves(spark: SparkSession, d: str) -> DataFrame:
-    return nested.node_table(nested.flatten_records(table(spark, d, "page_records")), groups=False)
+    return _columns(nested.node_table(_flat(spark, d), groups=False))
+
+
+@query
+def p6_rest(spark: SparkSession, d: str) -> DataFrame:
+    return nested.rest_table(_flat(spark, d))
 
 
 @query
 def p6_records(spark: SparkSession, d: str) -> DataFrame:
-    return nested.record_table(nested.flatten_records(table(spark, d, "page_records")))
+    return nested.record_table(_flat(spark, d))
 
 
 @query
 def p6_annotations(spark: SparkSession, d: str) -> DataFrame:
-    return nested.note_table(nested.flatten_records(table(spark, d, "page_records")))
+    rows = _columns(nested.note_table(_flat(spark, d)))
+    return rows.withColumn("tags", F.concat_ws(",", F.transform("tags", lambda t: F.concat(t["ordinal"], F.lit("="), t["tag"]))))
 
 
 @query
 def p6_others(spark: SparkSession, d: str) -> DataFrame:
-    return nested.other_table(nested.flatten_records(table(spark, d, "page_records")))
+    return nested.other_table(_flat(spark, d))
 
 
 ORACLES = oracle.ORACLES

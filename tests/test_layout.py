@@ -236,10 +236,15 @@ def test_labels_avoid_each_other():
 
 def test_page_numbers(spark):
     page = raw(spark, [])
-    assert sources.get_page(page, "d", 1).count() == 1
+    assert sources.at_page(page, 1, "d").count() == sources.at_page(page, 1).count() == parse.parse_page(page, "d", 1)[1].count() == 1
     for number in (0, 2):
-        with pytest.raises(ValueError, match="between 1 and 1"):
-            sources.get_page(page, "d", number)
+        with pytest.raises(ValueError, match=f"no page {number}: pages count from 1, and 'd' has 1"):
+            sources.at_page(page, number, "d")
+        with pytest.raises(ValueError):
+            parse.parse_page(page, "d", number)
+    with pytest.raises(ValueError, match="'e' has 0"):
+        parse.parse_page(page, "e", 1)
+    assert sources.at_page(page, 2).count() == 0
     with pytest.raises(ValueError):
         sources.read_raw_pages(spark, "")
 

@@ -60,12 +60,65 @@ def test_bodies_without_rows(spark, body):
     assert nested.flatten_records(df).where("table_name <> ''").count() == 0
 
 
+def read(body):
+    return nested.read_record(body, nested.RecordShape())
+
+
 def test_very_deep_record_and_long_integer():
-    shape = nested.RecordShape()
-    assert sum(t == shape.items for t, _, _ in nested.rows_of(deep(20_000), shape, False)) == 20_001
-    assert nested.parse('{"a": ' + "9" * 5000 + "}")[0]
-    assert not nested._parse_deep('{"a": [1, 2}')[0] and not nested._parse_deep('{"a": 1} x')[0] and not nested._parse_deep("{")[0]
-    assert nested._parse_deep(' {"a" : [1, {"b": "\\u00e9"}, [], {}, null] } ') == (True, {"a": ["1", {"b": "é"}, [], {}, None]})
+    assert sum(t == nested.RecordShape().items for t, _, _ in read(deep(20_000))) == 20_001
+    assert read('{"a": ' + "9" * 5000 + "}") == [("", (), {"a": "9" * 5000})]
+    assert read('{"a": ' + "[" * 20_000 + "]" * 20_000 + "}") == [("", (), {"a[0]": "[" * 19_999 + "]" * 19_999})]
+
+
+@pytest.mark.parametrize("body", ['{"a": [1, 2}', '{"a": 1} x', "{", '{"a": 1,}', '{"a": [1,]}', "{,}", '{"a": [,1]}', '{"a": [1 2]}', '{"a": tru}', '{"a": -}', '{"a": 01}', '{"a": "\n"}', '{"a"}', '{"a": }', "[1]", "1", ""])
+def test_invalid_records_have_no_rows(body):
+    assert read(body) == []
+
+
+def test_tokens():
+    assert read(' {"a" : [1, {"b": "\\u00e9"}, [2, {"c" : 3}], {}, null, true] , "d":{"e":1.50,"f":{}}} ') == [
+        ("", (), {"a[0]": "1", "a[2]": '[2, {"c" : 3}]', "a[5]": "true", "d.e": "1.50"}), ("a", (1,), {"b": "é"}), ("a", (3,), {}),
+    ]
+
+
+def test_the_last_of_repeated_keys_holds():
+    assert read('{"a": {"b": 2, "c": [1]}, "d": 3, "a": 1}') == [("", (), {"d": "3", "a": "1"})]
+    assert read('{"a": 1, "a": {"b": 2}}') == [("", (), {"a.b": "2"})]
+    assert read('{"pages": [{"x": 1}, {"chunks": [{}]}], "z": 0, "pages": {"page_number": 4}, "y": [{}]}') == [("", (), {"z": "0"}), ("pages", (0,), {"page_number": "4"}), ("y", (0,), {})]
+
+
+def test_random_records_as_by_a_parsed_tree():
+    rng = random.Random(9)
+
+    def fields(value, path=""):
+        if isinstance(value, dict):
+            for k, v in value.items():
+                yield from fields(v, f"{path}.{k}" if path else k)
+        elif isinstance(value, list):
+            for i, v in enumerate(value):
+                if isinstance(v, list):
+                    yield f"{path}[{i}]", json.dumps(v)
+                elif v is not None and not isinstance(v, dict):
+                    yield f"{path}[{i}]", v if isinstance(v, str) else json.dumps(v)
+        else:
+            yield path, value if value is None or isinstance(value, str) else json.dumps(value)
+
+    for _ in range(300):
+        body = {"pages": {"page_number": 1, "chunks": tree(rng, 4)}, **{k: rng.choice([1, "ü", None, [[1, "a"], 2], {"q": {"r": [None, False]}}]) for k in rng.sample("abcd", 3)}}
+        top = {k: v for k, v in body.items() if k != "pages"}
+        assert dict(read(json.dumps(body))[0][2]) == dict(fields(top))
+
+
+def test_half_a_surrogate_pair(spark):
+    df = spark.createDataFrame([(1, '{"pages": [{"page_number": 1, "a": "\\ud800"}]}')], "record_id long, body string")
+    assert nested.flatten_records(df).where("table_name = 'pages'").first().fields["a"] == "?"
+
+
+def test_fields_without_a_column_are_rows(spark):
+    body = {"pages": [{"page_number": 2, "skew": 1.5, "chunks": [{"type": "group", "odd": "x", "children": [{"type": "text", "odd": {"y": [7]}, "annotations": [{"by": "z"}]}]}]}]}
+    flat = nested.flatten_records(spark.createDataFrame([(7, json.dumps(body))], "record_id long, body string"))
+    assert sorted(tuple(r)[1:] for r in nested.rest_table(flat).collect()) == [("pages", 0, "", "skew", "1.5"), ("pages.chunks", 0, "0000", "odd", "x"), ("pages.chunks", 0, "0000.0000", "odd.y[0]", "7"), ("pages.chunks.annotations", 0, "0000.0000.0000", "by", "z")]
+    assert sorted(tuple(r) for r in nested.found_nodes(flat).collect()) == [(7, 2, "0000", ""), (7, 2, "0000.0000", "0000")]
 
 
 def test_tables(spark):
