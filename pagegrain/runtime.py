@@ -100,6 +100,15 @@ def scratch() -> Iterator[None]:
         _clean(before)
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, whose content goes as ``materialize``'s tables do."""
+    folder = scratch_dir(spark)
+    _sweep(spark, folder)
+    path = os.path.join(folder, f"pagegrain-{label}-{uuid.uuid4().hex}")
+    _made.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table into the shared folder and read it again.
 
@@ -108,10 +117,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     sizes. ``scratch`` removes the table, at the latest the driver's end does.
     """
     spark = df.sparkSession
-    folder = scratch_dir(spark)
-    _sweep(spark, folder)
-    path = os.path.join(folder, f"pagegrain-{label}-{uuid.uuid4().hex}")
-    _made.append((spark, path))
+    path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
