@@ -8,10 +8,14 @@ number of blanks, line ends, case, accents, raised and lowered signs.
 
 from __future__ import annotations
 
+import glob
 import hashlib
+import os
 import re
+import struct
 import sys
 import unicodedata
+import zipfile
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pagegrain.runtime import materialize
 
-#: Prototype, then the letters of other scripts drawn like it.
+#: Prototype, then letters of other scripts drawn like it. They go before the public table, which parts some of them.
 LOOK_ALIKES = """
 A ΑАᎪ
 B ΒВᏴ
@@ -87,6 +91,60 @@ LINE_ENDS = "\x0b\x0c\x85  "
 _RARE_ASCII = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]")
 
 
+#: The public table of look-alikes as the JVM's Unicode library carries it, and the file it is in.
+PUBLIC_TABLE, PUBLIC_JAR = "com/ibm/icu/impl/data/icudata/confusables.cfu", "icu4j*.jar"
+#: Signs whose look-alikes among other signs are taken from the public table; quotes and dashes differ to the eye.
+SIGNS = ":;,./\\*=~_"
+
+
+def _public_bytes() -> bytes:
+    """The public table's file, from Spark's folder or through the driver's JVM."""
+    import pyspark
+
+    for home in filter(None, (os.environ.get("SPARK_HOME"), os.path.dirname(pyspark.__file__))):
+        for jar in glob.glob(os.path.join(home, "jars", PUBLIC_JAR)):
+            return zipfile.ZipFile(jar).read(PUBLIC_TABLE)
+    context = pyspark.SparkContext._active_spark_context
+    stream = context and context._jvm.java.lang.Thread.currentThread().getContextClassLoader().getResourceAsStream(PUBLIC_TABLE)
+    if not stream:
+        raise RuntimeError("the public table of look-alikes is part of Spark's icu4j library, which isn't found")
+    return bytes(stream.readAllBytes())
+
+
+def public_prototypes() -> dict[int, str]:
+    """Characters and their prototypes, as the public table has them (its format is that of its library's data files)."""
+    data = _public_bytes()
+    data = data[struct.unpack(">H", data[:2])[0] :]
+    _, _, _, keys_at, n_keys, values_at, n_values, text_at, n_text = struct.unpack(">9I", data[:36])
+    keys = struct.unpack(f">{n_keys}I", data[keys_at : keys_at + 4 * n_keys])
+    values = struct.unpack(f">{n_values}H", data[values_at : values_at + 2 * n_values])
+    text = data[text_at : text_at + 2 * n_text]
+    units = ((k & 0xFFFFFF, v, (k >> 24) + 1) for k, v in zip(keys, values, strict=True))
+    return {cp: chr(v) if n == 1 else text[2 * v : 2 * (v + n)].decode("utf-16-be") for cp, v, n in units}
+
+
+def _drawn_as(cp: int, prototype: str) -> str | None:
+    """The prototype that is used for a character of the public table, None to leave it as it is.
+
+    ASCII characters differ from one another, which parts the public classes of l, I,
+    1 and of O, 0 and of m, rn; another character goes by its kind. Raised and lowered
+    signs stay, and of other signs all but those drawn like SIGNS.
+    """
+    ch = chr(cp)
+    kind = unicodedata.category(ch)
+    if cp < 0x80 or ch in KEPT or unicodedata.decomposition(ch).startswith(("<super>", "<sub>")):
+        return None
+    if kind[0] in "PSZ" or kind == "Cf":
+        return prototype if len(prototype) == 1 and prototype in SIGNS else None
+    if kind == "Lm" and all(unicodedata.category(c) in ("Lm", "Sk") for c in prototype):
+        return None
+    if prototype == "l":
+        return "I" if kind in ("Lu", "Lt") else "1" if kind == "Nd" else prototype
+    if prototype == "O" and kind == "Nd":
+        return "0"
+    return prototype.replace("rn", "m")
+
+
 def _within(cp: int, ranges: list[tuple[int, int]]) -> bool:
     return any(a <= cp <= b for a, b in ranges)
 
@@ -116,21 +174,28 @@ def prototypes() -> dict[int, str]:
             table[cp] = "\n"
         elif (to := _compat(ch)) != ch:
             table[cp] = to
+    for cp, prototype in public_prototypes().items():
+        if cp not in table and (to := _drawn_as(cp, prototype)) is not None:
+            table[cp] = to
     for line in LOOK_ALIKES.strip().split("\n"):
         prototype, others = line.split(" ")
         for ch in others:
             table[ord(ch)] = prototype
-    for cp, to in list(table.items()):  # what a decomposition gives may be a look-alike itself
-        table[cp] = "".join(table.get(ord(c), c) for c in to)
+    for cp in list(table):  # what a decomposition or a prototype gives may be a look-alike itself
+        for _ in range(4):
+            to = "".join(table.get(ord(c), c) for c in unicodedata.normalize("NFD", table[cp]))
+            if to == table[cp]:
+                break
+            table[cp] = to
     del table[0x20]
-    return table
+    return {cp: to for cp, to in table.items() if to != chr(cp)}
 
 
-def skeleton(text: str) -> str:
-    """The one form of all texts that look like ``text``."""
+def skeleton(text: str, table: dict[int, str] | None = None) -> str:
+    """The one form of all texts that look like ``text``. ``table`` is ``prototypes()``, which an executor gets from the driver."""
     if text.isascii() and not _RARE_ASCII.search(text):
         return text
-    text = unicodedata.normalize("NFD", text).translate(prototypes())
+    text = unicodedata.normalize("NFD", text).translate(prototypes() if table is None else table)
     return unicodedata.normalize("NFD", text)
 
 
@@ -145,12 +210,13 @@ def skeletons(df: DataFrame, key_cols: list[str], text_col: str, with_text: bool
     empty skeleton. Other columns of ``df`` aren't read. No shuffle.
     """
     names = [*key_cols, "look", "form", *["skeleton"] * with_text]
+    table = prototypes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             *keys, column = batch.columns
             texts = column.to_pylist()
-            seen = [skeleton(t) for t in texts]
+            seen = [skeleton(t, table) for t in texts]
             look = pa.array([_digest(s) for s in seen], pa.binary())
             form = pa.array([_digest(t) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([*keys, look, form, *[pa.array(seen, pa.string())] * with_text], names=names)
@@ -161,26 +227,41 @@ def skeletons(df: DataFrame, key_cols: list[str], text_col: str, with_text: bool
 
 
 def look_classes(df: DataFrame, group_col: str, id_col: str, text_col: str) -> DataFrame:
-    """``group_col, id_col, look, form, n_forms`` of the rows whose look has several forms.
+    """``group_col, id_col, look, form, n_forms, n_links`` of the rows whose look has several forms.
 
     A class is the rows of one ``group_col`` with one skeleton; it is kept if its
-    texts differ. Repeats of an id count once; rows with a null group, id or text
-    are in no class. Only digests are shuffled, never texts; both aggregations
-    combine before the shuffle, so a class may hold any share of the rows.
+    texts differ. ``n_links``: rows of the class with another text. Repeats of an id
+    count once; rows with a null group, id or text are in no class. Only digests are
+    shuffled, never texts; the aggregations combine before the shuffle, so a class
+    may hold any share of the rows.
     """
     rows = skeletons(df.where(F.col(group_col).isNotNull() & F.col(id_col).isNotNull()), [group_col, id_col], text_col, with_text=False)
     rows = materialize(rows.distinct(), "looks")
-    several = rows.groupBy(group_col, "look", "form").agg(F.count(F.lit(1)).alias("n")).groupBy(group_col, "look").agg(F.count(F.lit(1)).alias("n_forms")).where("n_forms > 1")
-    return rows.join(several, [group_col, "look"])
+    return rows.join(_forms(rows, group_col), [group_col, "look", "form"]).select(group_col, id_col, "look", "form", "n_forms", (F.col("n_class") - F.col("n_rows")).alias("n_links"))
 
 
-def look_alike_pairs(df: DataFrame, group_col: str, id_col: str, text_col: str) -> DataFrame:
+def _forms(rows: DataFrame, group_col: str) -> DataFrame:
+    """``group_col, look, form, n_rows, n_forms, n_class``: the texts of looks that have several, and how many rows each has."""
+    forms = rows.groupBy(group_col, "look", "form").agg(F.count(F.lit(1)).alias("n_rows"))
+    looks = forms.groupBy(group_col, "look").agg(F.count(F.lit(1)).alias("n_forms"), F.sum("n_rows").alias("n_class")).where("n_forms > 1")
+    return forms.join(looks, [group_col, "look"])
+
+
+def look_alike_pairs(df: DataFrame, group_col: str, id_col: str, text_col: str, block: int = 500) -> DataFrame:
     """``{id_col}_a, {id_col}_b``: pairs of one group that look the same and differ, smaller id first.
 
-    The rows of a class meet by an equality join on group and skeleton; only rows
-    of classes with several forms take part, and equal texts make no pair.
+    Texts meet, not rows: an equality join on group and skeleton gives the pairs of
+    different forms, and each form's ids, in blocks of about ``block``, are put out
+    for them. So rows of one text never meet, and a look of any size is spread over
+    tasks by pairs of blocks.
     """
-    classes = materialize(look_classes(df, group_col, id_col, text_col), "look-classes")
-    a, b = (classes.select(group_col, "look", F.col("form").alias(f"form_{s}"), F.col(id_col).alias(f"{id_col}_{s}")) for s in "ab")
-    near = a.join(b, [group_col, "look"]).where((F.col(f"{id_col}_a") < F.col(f"{id_col}_b")) & (F.col("form_a") != F.col("form_b")))
-    return near.select(f"{id_col}_a", f"{id_col}_b")
+    rows = skeletons(df.where(F.col(group_col).isNotNull() & F.col(id_col).isNotNull()), [group_col, id_col], text_col, with_text=False)
+    rows = materialize(rows.distinct(), "looks")
+    forms = materialize(_forms(rows, group_col).select(group_col, "look", "form", F.ceil(F.col("n_rows") / block).alias("n_blocks")), "look-forms")
+    members = rows.join(forms, [group_col, "look", "form"]).withColumn("block", F.pmod(F.xxhash64(id_col), F.col("n_blocks")))
+    blocks = materialize(members.groupBy(group_col, "look", "form", "block").agg(F.collect_list(id_col).alias("ids")), "look-blocks")
+    one, other = (blocks.select(group_col, "look", F.col("form").alias(f"form_{s}"), F.col("ids").alias(f"ids_{s}")) for s in "ab")
+    near = one.join(other, [group_col, "look"]).where("form_a < form_b").select("ids_a", "ids_b")
+    spread = near.repartition(F.xxhash64("ids_a", "ids_b"))
+    pairs = spread.select(F.explode("ids_a").alias("a"), "ids_b").select("a", F.explode("ids_b").alias("b"))
+    return pairs.select(F.least("a", "b").alias(f"{id_col}_a"), F.greatest("a", "b").alias(f"{id_col}_b"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagegrain.functions.text import normalize
 from pagegrain.llm import confusables, mixing, packing, quality, reading, sitelines, splitting, tokens
-from pagegrain.runtime import distinct_by, materialize, table
+from pagegrain.runtime import materialize, once, scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +19,8 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").where("type = 'text'")
 
 
-def _distinct_texts(spark: SparkSession, d: str) -> DataFrame:
-    return distinct_by(_texts(spark, d).select("chunk_id", "content"), ["chunk_id"])
+def _distinct_texts(spark: SparkSession, d: str, column: str = "content") -> DataFrame:
+    return once(_texts(spark, d).select("chunk_id", column), ["chunk_id"])
 
 
 # 1: look-alike texts
@@ -27,12 +29,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_forms(spark: SparkSession, d: str) -> DataFrame:
-    return confusables.skeletons(_distinct_texts(spark, d), ["chunk_id"], "content").select("chunk_id", "skeleton")
+    """All of ``content_raw`` in one form: the minimal normalisation, then the skeleton."""
+    texts = _distinct_texts(spark, d, "content_raw").select("chunk_id", normalize(F.col("content_raw")).alias("text"))
+    return confusables.skeletons(texts, ["chunk_id"], "text").select("chunk_id", "skeleton")
 
 
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     rows = confusables.look_classes(_texts(spark, d), "doc_id", "chunk_id", "content")
-    return rows.select("doc_id", "chunk_id", F.lower(F.hex("look")).alias("class_id"), F.lower(F.hex("form")).alias("form_id"), "n_forms")
+    return rows.select("doc_id", "chunk_id", F.lower(F.hex("look")).alias("class_id"), F.lower(F.hex("form")).alias("form_id"), "n_forms", "n_links")
 
 
 # 2: splitting
@@ -71,30 +75,52 @@ def p4_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 # 5: site lines
-def _ledger(spark: SparkSession, d: str) -> tuple[DataFrame, sitelines.LineLedger, sitelines.LineLedger]:
-    """The lines, and the ledgers after the chunks of the first day and after all later ones."""
-    chunks = table(spark, d, "chunks")
-    first_day = chunks.agg(F.to_date(F.min("ingested_at"))).first()[0]
-    chunks = chunks.withColumn("later", F.coalesce(F.to_date("ingested_at") > F.lit(first_day), F.lit(False)))
-    lines = materialize(sitelines.line_table(chunks.where("type = 'text'"), ["later"]), "lines")
-    files = materialize(chunks.select("source", "doc_id", "later").distinct(), "files")
-    first = sitelines.LineLedger.first(lines.where("not later"), files.where("not later"))
-    return lines, first, first.merge(lines.where("later"), files.where("later"))
+def _quarter() -> Column:
+    """The partition of a chunk: the quarter in which it arrived; those without a time come with the first."""
+    return F.coalesce(F.date_format(F.date_trunc("quarter", "ingested_at"), "yyyy-MM"), F.lit(""))
+
+
+def site_line_deltas(spark: SparkSession, chunks: DataFrame, path: str, with_text: bool, min_docs: int = sitelines.MIN_DOCS, min_share: float = sitelines.MIN_SHARE) -> tuple[sitelines.LineLedger, sitelines.DocumentLog, DataFrame]:
+    """Chunks, partition by partition, through a ledger of their lines: the ledger, the log of what was rebuilt, and the names of the documents rebuilt in each.
+
+    The log holds ``chunk_id, line_no`` of excessive lines, or with ``with_text`` each
+    chunk's content without them. After each partition only documents are done again that it
+    touches or that hold a line which crossed the threshold.
+    """
+    chunks = chunks.withColumn("quarter", _quarter())
+    texts = chunks.where("type = 'text'")
+    if with_text:
+        texts = once(texts.select("chunk_id", "source", "doc_id", "content", "quarter"), ["chunk_id"])
+    lines = materialize(sitelines.line_table(texts, ["quarter"]), "lines")
+    files = materialize(chunks.select("source", "doc_id", "quarter").distinct(), "files")
+    ledger, log, rebuilt = sitelines.LineLedger.open(spark, f"{path}/ledger", min_docs, min_share), sitelines.DocumentLog(spark, f"{path}/log"), []
+    for quarter in sorted(r.quarter for r in files.select("quarter").distinct().collect()):  # one for each quarter of a year
+        before, now, so_far = ledger, F.col("quarter") == quarter, F.col("quarter") <= quarter
+        ledger = before.merge(lines.where(now), files.where(now))
+        redo = materialize(ledger.to_redo(before, files.where(now)), "redo")
+        found = ledger.occurrences(sitelines.of_documents(lines.where(so_far), redo))
+        if with_text:
+            part = sitelines.of_documents(texts.where(so_far).select("chunk_id", "source", "doc_id", "content"), redo)
+            found = sitelines.without_lines(part, materialize(found, "found"))
+        log.put(ledger.version, redo, found)
+        rebuilt.append(ledger.to_rebuild(before).withColumn("quarter", F.lit(quarter)))
+    return ledger, log, rebuilt
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    lines, _, ledger = _ledger(spark, d)
-    return ledger.occurrences(lines)
+    _, log, _ = site_line_deltas(spark, table(spark, d, "chunks"), scratch_path(spark, "site-lines"), with_text=False)
+    return log.current().select("chunk_id", "line_no").distinct()
 
 
 def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    lines, _, ledger = _ledger(spark, d)
-    return sitelines.without_lines(_distinct_texts(spark, d).select("chunk_id", "content"), ledger.occurrences(lines))
+    _, log, _ = site_line_deltas(spark, table(spark, d, "chunks"), scratch_path(spark, "site-lines"), with_text=True)
+    return log.current().select("chunk_id", "content")
 
 
 def p5_rebuilt(spark: SparkSession, d: str) -> DataFrame:
-    _, first, ledger = _ledger(spark, d)
-    return ledger.to_rebuild(first)
+    """Documents rebuilt as a line crossed the threshold, by partition; the first one's are those cleaned at all."""
+    *_, rebuilt = site_line_deltas(spark, table(spark, d, "chunks"), scratch_path(spark, "site-lines"), with_text=False)
+    return reduce(DataFrame.unionByName, rebuilt)
 
 
 # 7: tokens
@@ -162,5 +188,7 @@ ORACLES: dict[str, str] = {
     "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE type = 'text' AND length(content) > 1000",
     "p4_found": """SELECT doc_id, page_number FROM (SELECT DISTINCT chunk_id, doc_id, page_number, length(content) AS n FROM chunks WHERE type = 'text' AND content IS NOT NULL)
 GROUP BY doc_id, page_number HAVING sum(n) + 2 * (count(*) - 1) > 6000""",
+    "p5_cleaned": _LINES + """, kept AS (SELECT s.chunk_id, string_agg(s.line, chr(10) ORDER BY s.line_no) AS content FROM split s LEFT JOIN (SELECT DISTINCT chunk_id, line_no FROM lines JOIN excessive USING (source, line)) g USING (chunk_id, line_no) WHERE g.chunk_id IS NULL GROUP BY s.chunk_id)
+SELECT chunk_id, CASE WHEN c.content IS NOT NULL THEN coalesce(k.content, '') END AS content FROM (SELECT DISTINCT chunk_id, content FROM chunks WHERE type = 'text') c LEFT JOIN kept k USING (chunk_id)""",
     "p5_found": _LINES + "SELECT DISTINCT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM lines JOIN excessive USING (source, line)",
 }

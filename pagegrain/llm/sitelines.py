@@ -1,27 +1,27 @@
 """Lines repeated across one source's documents.
 
 A ledger per corpus holds which document has which line and how many documents of
-each source have it. New partitions are merged as deltas: only incidences the
-ledger lacks raise its counts. After each delta the lines that crossed the
-threshold, either way, are known, and only documents with such lines need be
-rebuilt.
+each source have it, in a folder that outlives the process. New partitions are
+merged as deltas: only incidences the ledger lacks raise its counts. After each
+delta the lines that crossed the threshold, either way, are known, and only
+documents with such lines, and those the delta touched, are rebuilt.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.runtime import materialize, small_side
+from pagegrain.runtime import delete, exists, materialize, small_side, within
 
 #: The white space besides the line feed.
 BLANKS = r"[\t\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 LINE = ["source", "key_a", "key_b"]
 MIN_DOCS, MIN_SHARE = 3, 0.2
-#: The excessive lines are broadcast up to this many; beyond it the join is shuffled.
-BROADCAST_LINES = 200_000
+#: Lines and documents are broadcast up to so many; beyond it the join is shuffled, that by lines in so many salts.
+BROADCAST_LINES, BROADCAST_DOCS, SALTS = 200_000, 500_000, 16
 
 
 def normal_line(line: Column) -> Column:
@@ -41,42 +41,101 @@ def line_table(chunks: DataFrame, extra: list[str] = []) -> DataFrame:
     return lines.select("chunk_id", "line_no", "source", "doc_id", *extra, F.xxhash64("line").alias("key_a"), F.xxhash64(F.lit("b"), F.reverse("line")).alias("key_b"))
 
 
-@dataclass
+def _spread(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``rows`` of the given ``lines`` (a stored table without repeats).
+
+    Up to ``BROADCAST_LINES`` lines are broadcast. Beyond it each line is put out
+    ``SALTS`` times and the rows of a line meet its copies by turns, as one line may be in a
+    third of all rows.
+    """
+    if within(lines, BROADCAST_LINES):
+        return rows.join(F.broadcast(lines), LINE, "left_semi")
+    salted = lines.select(*LINE).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    turn = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(SALTS)).cast("int")
+    return rows.withColumn("__salt", turn).join(salted, [*LINE, "__salt"], "left_semi").drop("__salt")
+
+
+def of_documents(rows: DataFrame, docs: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``rows`` of the given documents (a stored table of ``source, doc_id`` without repeats); null ones are documents too."""
+    marks = docs.select(F.col("source").alias("__s"), F.col("doc_id").alias("__d"))
+    return rows.join(small_side(marks, BROADCAST_DOCS), F.col("source").eqNullSafe(F.col("__s")) & F.col("doc_id").eqNullSafe(F.col("__d")), how)
+
+
+@dataclass(frozen=True)
 class LineLedger:
-    """Incidences and counts after some deltas; every table is stored in the shared folder.
+    """Which document has which line, and in how many documents of its source each line is, after some deltas.
+
+    It lives in ``path``, a folder that all executors share, and outlives its
+    process: ``open`` goes on where the last whole delta ended. Each delta appends
+    what is new; only the counts, without documents, are written whole.
 
     ``incidence``: source, key_a, key_b, doc_id, without repeats.
     ``counts``: source, key_a, key_b, n_docs.
     ``files``: source, doc_id, without repeats; ``totals``: source, n_files.
     """
 
-    incidence: DataFrame
-    counts: DataFrame
-    files: DataFrame
-    totals: DataFrame
+    spark: SparkSession
+    path: str
+    version: int = 0
     min_docs: int = MIN_DOCS
     min_share: float = MIN_SHARE
 
     @staticmethod
-    def first(lines: DataFrame, files: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> LineLedger:
-        """The ledger of the first delta, which meets an empty ledger."""
-        incidence = materialize(lines.select(*LINE, "doc_id").distinct(), "line-incidence")
-        files = materialize(files.where("source is not null and doc_id is not null").select("source", "doc_id").distinct(), "line-files")
-        counts = materialize(incidence.groupBy(*LINE).agg(F.count(F.lit(1)).alias("n_docs")), "line-counts")
-        return LineLedger(incidence, counts, files, files.groupBy("source").agg(F.count(F.lit(1)).alias("n_files")), min_docs, min_share)
+    def open(spark: SparkSession, path: str, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> LineLedger:
+        """The ledger in ``path``, with the thresholds it was begun with; a new, empty one if there is none."""
+        if not exists(spark, f"{path}/done"):
+            return LineLedger(spark, path, 0, min_docs, min_share)
+        last = spark.read.parquet(f"{path}/done").orderBy(F.desc("version")).first()
+        return LineLedger(spark, path, last.version, last.min_docs, last.min_share)
+
+    def _read(self, name: str, whole: bool = True) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.path}/{name}/{v}" for v in range(1 if whole else self.version, self.version + 1)))
+
+    def _write(self, df: DataFrame, name: str, version: int) -> None:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}/{version}")
+
+    @property
+    def incidence(self) -> DataFrame:
+        return self._read("incidence")
+
+    @property
+    def counts(self) -> DataFrame:
+        return self._read("counts", whole=False)
+
+    @property
+    def files(self) -> DataFrame:
+        return self._read("files")
+
+    @property
+    def totals(self) -> DataFrame:
+        return self.files.groupBy("source").agg(F.count(F.lit(1)).alias("n_files"))
 
     def merge(self, lines: DataFrame, files: DataFrame) -> LineLedger:
-        """The ledger after one more delta. A line seen again in a known document adds nothing."""
-        new = materialize(lines.select(*LINE, "doc_id").distinct().join(self.incidence, [*LINE, "doc_id"], "left_anti"), "line-delta")
-        fresh = files.where("source is not null and doc_id is not null").select("source", "doc_id").distinct().join(self.files, ["source", "doc_id"], "left_anti")
-        added = new.groupBy(*LINE).agg(F.count(F.lit(1)).alias("n_docs"))
-        counts = materialize(self.counts.unionByName(added).groupBy(*LINE).agg(F.sum("n_docs").alias("n_docs")), "line-counts")
-        all_files = materialize(self.files.unionByName(fresh), "line-files")
-        totals = all_files.groupBy("source").agg(F.count(F.lit(1)).alias("n_files"))
-        return LineLedger(self.incidence.unionByName(new), counts, all_files, totals, self.min_docs, self.min_share)
+        """The ledger after one more delta: its lines and its documents. A line seen again in a known document adds nothing.
+
+        A delta that broke off is done anew; its parts are overwritten. The counts
+        of the version before are kept, older ones are deleted.
+        """
+        after = LineLedger(self.spark, self.path, self.version + 1, self.min_docs, self.min_share)
+        new, fresh = lines.select(*LINE, "doc_id").distinct(), files.where("source is not null and doc_id is not null").select("source", "doc_id").distinct()
+        if self.version:
+            known = of_documents(self.incidence, materialize(fresh, "delta-files"))  # only documents of the delta can hold its lines already
+            new, fresh = new.join(known, [*LINE, "doc_id"], "left_anti"), fresh.join(self.files, ["source", "doc_id"], "left_anti")
+        self._write(new, "incidence", after.version)
+        self._write(fresh, "files", after.version)
+        added = after.spark.read.parquet(f"{self.path}/incidence/{after.version}").groupBy(*LINE).agg(F.count(F.lit(1)).alias("n_docs"))
+        if self.version:
+            added = self.counts.unionByName(added).groupBy(*LINE).agg(F.sum("n_docs").alias("n_docs"))
+        self._write(added, "counts", after.version)
+        self.spark.createDataFrame([(after.version, self.min_docs, self.min_share)], "version int, min_docs int, min_share double").coalesce(1).write.mode("append").parquet(f"{self.path}/done")
+        if self.version > 1:
+            delete(self.spark, f"{self.path}/counts/{self.version - 1}")
+        return after
 
     def excessive(self) -> DataFrame:
         """``source, key_a, key_b, n_docs, n_files`` of the lines over the threshold."""
+        if not self.version:
+            return self.spark.createDataFrame([], "source string, key_a bigint, key_b bigint, n_docs bigint, n_files bigint")
         likely = self.counts.where(F.col("n_docs") >= self.min_docs)
         return likely.join(self.totals, "source").where(F.col("n_docs") >= F.col("n_files") * self.min_share)
 
@@ -87,13 +146,40 @@ class LineLedger:
 
     def to_rebuild(self, before: LineLedger) -> DataFrame:
         """``source, doc_id``: the documents that hold a line which crossed the threshold."""
-        crossed = small_side(materialize(self.crossed(before), "line-crossed"), BROADCAST_LINES)
-        return self.incidence.join(crossed, LINE).select("source", "doc_id").distinct()
+        crossed = materialize(self.crossed(before).select(*LINE), "line-crossed")
+        return _spread(self.incidence, crossed).select("source", "doc_id").distinct()
+
+    def to_redo(self, before: LineLedger, files: DataFrame) -> DataFrame:
+        """``source, doc_id``: the documents to rebuild, and those that the delta (its ``files``) brought or added to."""
+        return self.to_rebuild(before).unionByName(files.select("source", "doc_id")).distinct()
 
     def occurrences(self, lines: DataFrame) -> DataFrame:
-        """``chunk_id, line_no``: every excessive line among ``lines``, repeats once."""
-        found = materialize(self.excessive().select(*LINE), "line-excessive")
-        return lines.join(small_side(found, BROADCAST_LINES), LINE).select("chunk_id", "line_no").distinct()
+        """``chunk_id, line_no, source, doc_id``: every excessive line among ``lines``, repeats once."""
+        return _spread(lines, materialize(self.excessive().select(*LINE), "line-excessive")).select("chunk_id", "line_no", "source", "doc_id").distinct()
+
+
+@dataclass(frozen=True)
+class DocumentLog:
+    """Rows of documents that are redone now and then, in ``path``, a folder that all executors share.
+
+    Each version appends the rows of the documents it redoes, and their names; what
+    is current of a document is what its last version gave. Documents that a
+    version doesn't touch aren't written again.
+    """
+
+    spark: SparkSession
+    path: str
+
+    def put(self, version: int, docs: DataFrame, rows: DataFrame) -> None:
+        """``docs`` (source, doc_id) are redone in this version, ``rows`` is all that they have now."""
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/rows/version={version}")
+        docs.write.mode("overwrite").parquet(f"{self.path}/docs/version={version}")
+
+    def current(self) -> DataFrame:
+        rows, docs = (self.spark.read.parquet(f"{self.path}/{name}") for name in ("rows", "docs"))
+        last = docs.groupBy(F.col("source").alias("__s"), F.col("doc_id").alias("__d")).agg(F.max("version").alias("__v"))
+        same = F.col("source").eqNullSafe(F.col("__s")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("version") == F.col("__v"))
+        return rows.join(small_side(materialize(last, "last-versions"), BROADCAST_DOCS), same, "left_semi").drop("version")
 
 
 def without_lines(chunks: DataFrame, occurrences: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from itertools import combinations
 
 import pytest
 
-from pagegrain.llm.confusables import look_alike_pairs, look_classes, skeleton, skeletons
+from pagegrain.llm.confusables import look_alike_pairs, look_classes, public_prototypes, skeleton, skeletons
 
 SAME = [
     ("paper", "рареr"), ("ﬁlter oﬀ", "filter off"), ("５ ㎜", "5 mm"), ("a b c", "a b c"), ("é", "é"), ("so­ft​", "soft"), ("e‍́", "é"), ("K", "K"), ("a‑b", "a-b"), ("Ａ", "A"), ("ё", "ë"), ("𝐱", "x"), ("a\tb", "a b"), ("﻿a", "a"), ("ΑΒ", "AB"),
@@ -30,6 +30,23 @@ def test_skeleton_of_a_skeleton():
         assert skeleton(s) == s == unicodedata.normalize("NFD", s)
 
 
+@pytest.mark.parametrize(("a", "b"), [("o", "ⲟ"), ("B", "ꓐ"), ("o", "𐐬"), ("c", "ᴄ"), ("s", "ꜱ"), ("v", "ᴠ"), ("o", "ס"), (":", "∶"), ("/", "⁄"), ("x", "ⅹ"), ("I", "І"), ("l", "ا"), ("m", "ⅿ"), ("A", "𐊠"), ("E", "ⴹ"), ("P", "Ꮲ"), ("ь", "b"), ("T", "Ꭲ")])
+def test_same_in_other_scripts(a, b):
+    assert skeleton(f"{a}x") == skeleton(f"{b}x")
+
+
+def test_public_table():
+    table = public_prototypes()
+    assert len(table) > 6000 and table[0x410] == "A" and table[0x2C9F] == "o" and table[ord("m")] == "rn"
+
+
+def test_plain_signs_keep_apart():
+    plain = [chr(c) for c in range(0x21, 0x7F)]
+    assert len({skeleton(c + "é") for c in plain}) == len(plain)
+    for differing in ("-–—", "x×", "\"“”", "'’", "0O", "1lI"):
+        assert len({skeleton(c) for c in differing}) == len(differing)
+
+
 def test_pairs(spark):
     rng = random.Random(1)
     words = ["pump", "рump", "pum​p", "Pump", "pump ", "pump ", "", "​", "ﬁt", "fit"]
@@ -41,6 +58,12 @@ def test_pairs(spark):
     assert got == sorted(want)
     classes = look_classes(df, "doc_id", "chunk_id", "content")
     assert {r.chunk_id for r in classes.collect()} == {x for p in want for x in p}
+    links = {}
+    for p in want:
+        for x in p:
+            links[x] = links.get(x, 0) + 1
+    assert {r.chunk_id: r.n_links for r in classes.collect()} == links
+    assert sorted(map(tuple, look_alike_pairs(df, "doc_id", "chunk_id", "content", block=2).collect())) == sorted(want)
     assert look_alike_pairs(df.limit(0), "doc_id", "chunk_id", "content").count() == 0
 
 
