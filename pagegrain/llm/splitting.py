@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +21,6 @@ from pyspark.sql import functions as F
 PARAGRAPH, SENTENCE, CLAUSE, LINE, WORD, NONE = 0.0, 0.1, 0.4, 0.5, 0.8, 3.0
 #: Weight of a piece's squared relative distance from the even size.
 BALANCE = 1.0
-#: Words are boundaries only where better ones are farther apart than this share of the limit.
-WIDE_GAP = 0.2
 
 _STRONG = re.compile(
     r"(?P<paragraph>\n[ \t]*\n\s*)"
@@ -33,82 +30,73 @@ _STRONG = re.compile(
 )
 _COST = {"paragraph": PARAGRAPH, "sentence": SENTENCE, "clause": CLAUSE, "line": LINE}
 _BLANKS = re.compile(r"\s+")
+#: The joiner of pictographs and the sign that asks for a pictograph; both belong to the character before.
+_JOINER, _AS_PICTURE = "‍", "️"
 
 
-def boundaries(text: str, limit: int, everywhere: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def boundaries(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions where ``text`` may be cut, ascending, from 0 to its length; and their penalties.
 
-    With ``everywhere`` any position between two characters is one.
+    These are all ends of paragraphs, sentences, clauses, lines and words. Only a
+    stretch without one that is longer than the new text of a piece, which must be cut
+    within, may be cut between any two characters. No mark is parted from its
+    letter, unless marks alone fill such a stretch.
     """
-    at, cost = [0], [0.0]
-    for m in _STRONG.finditer(text):
-        if m.end() < len(text):
-            at.append(m.end())
-            cost.append(_COST[m.lastgroup])
-    at.append(len(text))
-    cost.append(0.0)
-    for finer, penalty in ((_BLANKS, WORD), (None, NONE)):
-        gap = 1 if everywhere else limit * WIDE_GAP
-        more: list[int] = []
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            if b - a > gap:
-                if finer:
-                    more += [m.end() for m in finer.finditer(text, a, b) if a < m.end() < b]
-                else:
-                    step = max(1, int(gap // 2))
-                    more += [p if everywhere else _whole(text, p) for p in range(a + step, b, step)]
-        if more:
-            merged = dict(zip(more, [penalty] * len(more), strict=True)) | dict(zip(at, cost, strict=True))
-            at = sorted(merged)
-            cost = [merged[p] for p in at]
-    return np.array(at, dtype=np.int64), np.array(cost)
-
-
-def _whole(text: str, at: int) -> int:
-    """``at``, or a little before it, so that no mark is parted from its letter."""
-    p = at
-    while p > at - 30 and p > 1 and (unicodedata.combining(text[p]) or text[p] in "‍️" or text[p - 1] == "‍"):
-        p -= 1
-    return p if p > at - 30 else at
+    found = {m.end(): WORD for m in _BLANKS.finditer(text)}
+    found |= {m.end(): _COST[m.lastgroup] for m in _STRONG.finditer(text)}
+    n = len(text)
+    if not text.isascii():
+        found = {p: c for p, c in found.items() if p < n and _is_whole(text, p)}
+    at = sorted({0, n, *found})
+    for allowed in (_is_whole, lambda _, __: True):
+        if max(map(int.__sub__, at[1:], at[:-1]), default=0) > limit - overlap:
+            wide = [(a, b) for a, b in zip(at[:-1], at[1:], strict=True) if b - a > limit - overlap]
+            dense = [p for a, b in wide for p in range(a + 1, b) if allowed(text, p)]
+            found |= dict.fromkeys(dense, NONE)
+            at = sorted({*at, *dense})
+    return np.array(at, dtype=np.int64), np.array([0.0 if p in (0, n) else found[p] for p in at])
+
+
+def _is_whole(text: str, p: int) -> bool:
+    return not (unicodedata.combining(text[p]) or text[p] in (_JOINER, _AS_PICTURE) or text[p - 1] == _JOINER)
+
+
+def even_size(n: int, limit: int, overlap: int) -> float:
+    """The new text of each piece if all are alike and as few as can be."""
+    return (n - overlap) / -(-(n - overlap) // (limit - overlap))
 
 
 def cuts(text: str, limit: int, overlap: int) -> list[int]:
-    """Ends of the pieces' new text, the last being the text's length; ``[len(text)]`` if it fits."""
+    """Ends of the pieces' new text, the last being the text's length; ``[len(text)]`` if it fits.
+
+    The choice is the cheapest of all choices of boundaries that keep the limit, by
+    dynamic programming: the cheapest way to each boundary is that to one within a
+    piece's new text before it. Time is in proportion to the text's length.
+    """
     n = len(text)
     if n <= limit:
         return [n]
-    fresh = limit - overlap
-    even = (n - overlap) / -(-(n - overlap) // fresh)
-    for everywhere in (False, True):  # the latter where the candidates leave no way, as with little fresh text in a piece
-        at, cost = boundaries(text, limit, everywhere)
-        ends = _cheapest(at, cost, limit, overlap, even)
-        if ends:
-            return ends
-    raise AssertionError("unreachable: any text can be cut between characters")
-
-
-def _cheapest(at: np.ndarray, cost: np.ndarray, limit: int, overlap: int, even: float) -> list[int]:
-    """The cheapest choice of cuts; empty if none keeps the limit."""
-    fresh = limit - overlap
+    fresh, even = limit - overlap, even_size(n, limit, overlap)
+    at, cost = boundaries(text, limit, overlap)
+    uneven = BALANCE * ((np.arange(fresh + 1) - even) / even) ** 2  # by the length of the new text
     best = np.full(len(at), np.inf)
     back = np.zeros(len(at), dtype=np.int64)
-    places = at.tolist()
-    for j in range(1, len(at)):
+    places, costs = at.tolist(), cost.tolist()
+    i = 1
+    for j in range(1, len(places)):
         p = places[j]
         if p <= overlap:  # the next piece must find its overlap in this one
             continue
-        i = max(1, bisect_right(places, p - fresh - 1))
-        total = best[i:j] + BALANCE * ((p - at[i:j] - even) / even) ** 2
-        if len(total):
+        while places[i] < p - fresh:
+            i += 1
+        least = np.inf
+        if i < j:
+            total = uneven[p - at[i:j]] + best[i:j]
             k = int(total.argmin())
-            best[j], back[j] = total[k], i + k
-        if p <= limit:  # as the first piece, which has no overlap to carry
-            first = BALANCE * ((p - overlap - even) / even) ** 2
-            if first <= best[j]:
-                best[j], back[j] = first, 0
-        best[j] += cost[j]
-    if not np.isfinite(best[-1]):
-        return []
+            least, back[j] = total[k], i + k
+        if p <= limit and uneven[p - overlap] <= least:  # as the first piece, which has no overlap to carry
+            least, back[j] = uneven[p - overlap], 0
+        best[j] = least + costs[j]
     ends, j = [], len(at) - 1
     while j:
         ends.append(places[j])
@@ -126,8 +114,8 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 1000
     """``id_col, piece_no, n_pieces, start, end`` and the ``piece``: the pieces of each row's text.
 
     A text within the limit is its own only piece, the empty one too; a null text
-    has none. Lengths are in characters. Where a text has no boundary within the
-    limit it is cut between characters. Repeated rows give repeated pieces. Other
+    has none. Lengths are in characters. Where a text has no boundary within a
+    piece's new text it is cut between characters. Repeated rows give repeated pieces. Other
     columns of ``df`` aren't read. No shuffle.
     """
     if not 0 <= overlap < limit:
