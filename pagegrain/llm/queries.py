@@ -50,14 +50,25 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 # 3: quality
+def _statistics(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "common_words")
+    measured = materialize(quality.figures(_texts(spark, d), words, quality.train(table(spark, d, "quality_samples"), words)), "figures")
+    return quality.document_statistics(measured, quality.repetition(measured), quality.dominant_grams(_texts(spark, d), measured, quality.TOP_GRAM))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    measured = quality.figures(_texts(spark, d), table(spark, d, "common_words"))
-    return quality.document_statistics(measured).where(~F.col("is_prose")).select("doc_id")
+    return _statistics(spark, d).where(~F.col("is_prose")).select("doc_id")
 
 
 def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
-    measured = quality.figures(_texts(spark, d), table(spark, d, "common_words"))
-    return quality.document_statistics(measured).join(quality.repetition(_texts(spark, d)), "doc_id", "left").fillna(0.0, ["repeated_line_share", "repeated_paragraph_share"])
+    return _statistics(spark, d)
+
+
+def p3_repetition(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated lines, paragraphs and dominant pairs of words of all documents, the latter however small their share."""
+    measured = materialize(quality.figures(_texts(spark, d), table(spark, d, "common_words")), "figures")
+    rows = quality.document_statistics(measured, quality.repetition(measured), quality.dominant_grams(_texts(spark, d), measured, 0.0))
+    return rows.select("doc_id", "n_chars", "word_count", "mean_word_length", "ended_line_share", "common_word_share", "repeated_line_share", "repeated_paragraph_share", "top_gram_share")
 
 
 # 4: packing
@@ -166,7 +177,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_forms": p1_forms, "p1_classes": p1_classes,
     "p2_found": p2_found, "p2_pieces": p2_pieces,
-    "p3_found": p3_found, "p3_statistics": p3_statistics,
+    "p3_found": p3_found, "p3_statistics": p3_statistics, "p3_repetition": p3_repetition,
     "p4_found": p4_found, "p4_containers": p4_containers,
     "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p5_rebuilt": p5_rebuilt,
     "p7_ids": p7_ids,
@@ -184,10 +195,27 @@ many AS (SELECT source, line, count(DISTINCT doc_id) AS n_docs FROM lines WHERE
 excessive AS (SELECT source, line FROM many JOIN files USING (source) WHERE n_docs >= 3 AND n_docs >= n_files * 0.2::DOUBLE)
 """
 
+_BLANK_SIGNS = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_REPETITION = rf"""
+WITH texts AS (SELECT DISTINCT chunk_id, doc_id, content FROM chunks WHERE type = 'text' AND content IS NOT NULL),
+worded AS (SELECT chunk_id, doc_id, content, list_filter(string_split_regex(content, '{_BLANK_SIGNS}'), lambda w: w <> '') AS ws FROM texts),
+lowered AS (SELECT *, list_transform(ws, lambda w: lower(trim(w, '.,;:!?()[]"''«»'))) AS ls, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines, list_filter(list_transform(string_split(content, chr(10) || chr(10)), lambda x: trim(x)), lambda x: x <> '') AS paragraphs FROM worded),
+sums AS (SELECT doc_id, sum(length(content))::BIGINT AS n_chars, sum(len(ws))::BIGINT AS word_count, sum(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)) AS word_chars, sum(len(lines)) AS n_lines,
+  sum(len(list_filter(lines, lambda x: contains('.!?。！？;:,、；：，', right(x, 1))))) AS n_ended, sum(len(list_filter(ls, lambda w: list_contains(known, w)))) AS n_common FROM lowered, (SELECT list(DISTINCT lower(word)) AS known FROM common_words) GROUP BY doc_id),
+parts AS (SELECT doc_id, 'line' AS kind, unnest(lines) AS part FROM lowered UNION ALL SELECT doc_id, 'paragraph', unnest(paragraphs) FROM lowered),
+again AS (SELECT doc_id, coalesce(sum((n - 1) * length(part)) FILTER (kind = 'line') / sum(n * length(part)) FILTER (kind = 'line'), 0)::DOUBLE AS l, coalesce(sum((n - 1) * length(part)) FILTER (kind = 'paragraph') / sum(n * length(part)) FILTER (kind = 'paragraph'), 0)::DOUBLE AS p
+  FROM (SELECT doc_id, kind, part, count(*) AS n FROM parts GROUP BY ALL) GROUP BY doc_id),
+grams AS (SELECT doc_id, unnest(list_zip(ls[:-2], ls[2:])) AS g FROM lowered WHERE len(ls) > 1),
+top AS (SELECT doc_id, max(n * (length(g[1]) + length(g[2]) + 1)) AS chars FROM (SELECT doc_id, g, count(*) AS n FROM grams GROUP BY ALL) WHERE n > 1 GROUP BY doc_id)
+SELECT doc_id, n_chars, word_count, CASE WHEN word_count > 0 THEN word_chars / word_count ELSE 0 END::DOUBLE AS mean_word_length, CASE WHEN n_lines > 0 THEN n_ended / n_lines ELSE 0 END::DOUBLE AS ended_line_share, CASE WHEN word_count > 0 THEN n_common / word_count ELSE 0 END::DOUBLE AS common_word_share,
+  coalesce(l, 0) AS repeated_line_share, coalesce(p, 0) AS repeated_paragraph_share, coalesce(least(1, chars / n_chars), 0)::DOUBLE AS top_gram_share FROM sums LEFT JOIN again USING (doc_id) LEFT JOIN top USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE type = 'text' AND length(content) > 1000",
     "p4_found": """SELECT doc_id, page_number FROM (SELECT DISTINCT chunk_id, doc_id, page_number, length(content) AS n FROM chunks WHERE type = 'text' AND content IS NOT NULL)
 GROUP BY doc_id, page_number HAVING sum(n) + 2 * (count(*) - 1) > 6000""",
+    "p3_repetition": _REPETITION,
     "p5_cleaned": _LINES + """, kept AS (SELECT s.chunk_id, string_agg(s.line, chr(10) ORDER BY s.line_no) AS content FROM split s LEFT JOIN (SELECT DISTINCT chunk_id, line_no FROM lines JOIN excessive USING (source, line)) g USING (chunk_id, line_no) WHERE g.chunk_id IS NULL GROUP BY s.chunk_id)
 SELECT chunk_id, CASE WHEN c.content IS NOT NULL THEN coalesce(k.content, '') END AS content FROM (SELECT DISTINCT chunk_id, content FROM chunks WHERE type = 'text') c LEFT JOIN kept k USING (chunk_id)""",
     "p5_found": _LINES + "SELECT DISTINCT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM lines JOIN excessive USING (source, line)",

@@ -21,7 +21,7 @@ BLANKS = r"[\t\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{
 LINE = ["source", "key_a", "key_b"]
 MIN_DOCS, MIN_SHARE = 3, 0.2
 #: Lines and documents are broadcast up to so many; beyond it the join is shuffled, that by lines in so many salts.
-BROADCAST_LINES, BROADCAST_DOCS, SALTS = 200_000, 500_000, 16
+BROADCAST_LINES, BROADCAST_DOCS, SALTS = 200_000, 200_000, 16
 
 
 def normal_line(line: Column) -> Column:
