@@ -72,19 +72,35 @@ def p3_repetition(spark: SparkSession, d: str) -> DataFrame:
 
 
 # 4: packing
-def _packed(spark: SparkSession, d: str) -> DataFrame:
+#: Containers of few documents and half the attention cost of one that a single text fills: both bounds bind.
+BOUNDED = packing.Capacity(items=4, cost=0.5 * 6000.0**2)
+
+
+def _packed(spark: SparkSession, d: str, capacity: packing.Capacity = packing.Capacity()) -> DataFrame:
     pages = materialize(packing.page_lengths(table(spark, d, "chunks")), "page-lengths")
-    return packing.pack(pages, "source", ["doc_id", "page_number"], "length")
+    return packing.pack(pages, "source", ["doc_id", "page_number"], "length", capacity)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).where("n_parts > 1 and part_no = 0").select("doc_id", "page_number")
+    """Pages whose parts had to be put into several containers."""
+    return _packed(spark, d).groupBy("doc_id", "page_number").agg(F.count_distinct("container").alias("n")).where("n > 1").select("doc_id", "page_number")
 
 
 def p4_containers(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
 
+def p4_bounded(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d, BOUNDED)
+
+
+def p4_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of the packing for each source: its characters, and whether its containers keep their capacity and leave little space."""
+    bins = _packed(spark, d).groupBy("source", "container").agg(F.sum(F.col("end") - F.col("start")).alias("chars"))
+    sums = bins.groupBy("source").agg(F.sum("chars").alias("n_chars"), F.count(F.lit(1)).alias("n_bins"), F.max("chars").alias("fullest"))
+    return sums.select("source", "n_chars", (F.col("fullest") <= 6000).alias("within_capacity"), (F.col("n_bins") <= F.ceil(F.col("n_chars") / 6000) * 1.01 + 1).alias("within_a_hundredth"))
+
+
 # 5: site lines
 def _quarter() -> Column:
     """The partition of a chunk: the quarter in which it arrived; those without a time come with the first."""
@@ -178,7 +194,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_forms": p1_forms, "p1_classes": p1_classes,
     "p2_found": p2_found, "p2_pieces": p2_pieces,
     "p3_found": p3_found, "p3_statistics": p3_statistics, "p3_repetition": p3_repetition,
-    "p4_found": p4_found, "p4_containers": p4_containers,
+    "p4_found": p4_found, "p4_containers": p4_containers, "p4_bounded": p4_bounded, "p4_bins": p4_bins,
     "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p5_rebuilt": p5_rebuilt,
     "p7_ids": p7_ids,
     "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares,
@@ -216,6 +232,8 @@ ORACLES: dict[str, str] = {
     "p4_found": """SELECT doc_id, page_number FROM (SELECT DISTINCT chunk_id, doc_id, page_number, length(content) AS n FROM chunks WHERE type = 'text' AND content IS NOT NULL)
 GROUP BY doc_id, page_number HAVING sum(n) + 2 * (count(*) - 1) > 6000""",
     "p3_repetition": _REPETITION,
+    "p4_bins": """SELECT source, sum(n)::BIGINT AS n_chars, true AS within_capacity, true AS within_a_hundredth FROM (SELECT min(source) AS source, sum(n) + 2 * (count(*) - 1) AS n FROM
+(SELECT DISTINCT chunk_id, source, doc_id, page_number, length(content) AS n FROM chunks WHERE type = 'text' AND content IS NOT NULL) GROUP BY doc_id, page_number) GROUP BY source""",
     "p5_cleaned": _LINES + """, kept AS (SELECT s.chunk_id, string_agg(s.line, chr(10) ORDER BY s.line_no) AS content FROM split s LEFT JOIN (SELECT DISTINCT chunk_id, line_no FROM lines JOIN excessive USING (source, line)) g USING (chunk_id, line_no) WHERE g.chunk_id IS NULL GROUP BY s.chunk_id)
 SELECT chunk_id, CASE WHEN c.content IS NOT NULL THEN coalesce(k.content, '') END AS content FROM (SELECT DISTINCT chunk_id, content FROM chunks WHERE type = 'text') c LEFT JOIN kept k USING (chunk_id)""",
     "p5_found": _LINES + "SELECT DISTINCT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM lines JOIN excessive USING (source, line)",
