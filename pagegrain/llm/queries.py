@@ -163,9 +163,19 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources whose tokens, as their schedule asks for them, are used up before training ends."""
     return mixing.source_plan(_sizes(spark, d), table(spark, d, "mix_targets")).where("not can_reach").select("source")
 
 
+def p8_phases(spark: SparkSession, d: str) -> DataFrame:
+    """A mix by schedules that are given: in turns of the targets, sources that fade out by two thirds of training, that come in then, and that stay."""
+    targets = table(spark, d, "mix_targets")
+    turn = F.pmod(F.xxhash64("source"), F.lit(3))
+    weights = F.when(turn == 0, F.array(*map(F.lit, (2.0, 2.0, 0.0, 0.0)))).when(turn == 1, F.array(*map(F.lit, (0.0, 0.5, 2.0, 2.0)))).otherwise(F.array(*[F.lit(1.0)] * 4))
+    schedules = targets.select("source", F.posexplode(weights).alias("k", "weight")).select("source", (F.col("k") / 3).alias("time"), "weight")
+    return mixing.mix(_sizes(spark, d), targets, schedules=schedules)
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_sizes(spark, d), table(spark, d, "mix_targets"))
 
@@ -197,7 +207,7 @@ QUERIES: dict[str, Query] = {
     "p4_found": p4_found, "p4_containers": p4_containers, "p4_bounded": p4_bounded, "p4_bins": p4_bins,
     "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p5_rebuilt": p5_rebuilt,
     "p7_ids": p7_ids,
-    "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p8_found": p8_found, "p8_mix": p8_mix, "p8_phases": p8_phases, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_profile": p9_profile,
 }
 

@@ -56,6 +56,43 @@ def test_schedule(spark, tables):
         assert abs(half - r.planned * (0.5 - 0.25 * r.slope)) <= 900
 
 
+def area(knots, until):
+    """The integral of straight lines between knots up to a time, by many small steps."""
+    import numpy as np
+
+    x = np.linspace(0, until, 20_001)
+    return float(np.trapezoid(np.interp(x, *zip(*knots, strict=True)), x))
+
+
+def test_given_schedules(spark, tables):
+    """At every time a source has given the integral of its weights; weights of 0 give nothing."""
+    _, df, targets = tables
+    knots = {"big": [(0.0, 3.0), (0.5, 0.0), (0.75, 0.0), (1.0, 1.0)], "mid": [(0.3, 0.0), (0.6, 5.0)], "small": [(0.5, 0.0)]}
+    rows = [(s, t, w) for s, ks in knots.items() for t, w in ks] + [(None, 0.5, 1.0), ("big", None, 1.0), ("other", 0.1, 1.0)]
+    schedules = spark.createDataFrame(rows, "source string, time double, weight double")
+    used = mixing.mix(df, targets, schedules=schedules).collect()
+    plan = {r.source: r for r in mixing.source_plan(df, targets, "feasible", schedules).collect()}
+    assert all(abs(sum(x.n_tokens for x in used if x.source == s) - plan[s].planned) <= 900 for s in ("big", "mid", "small"))
+    for s in ("big", "mid"):
+        for t in (0.1, 0.3, 0.5, 0.7, 0.9):
+            got = sum(x.n_tokens for x in used if x.source == s and x.position <= t)
+            assert abs(got - plan[s].planned * area(knots[s], t) / area(knots[s], 1.0)) <= 910
+    assert not [x for x in used if x.source == "big" and 0.51 < x.position < 0.74] and not [x for x in used if x.source == "mid" and x.position < 0.3]
+    assert len(plan["small"].segments) == 1  # without a weight above 0 as without a schedule
+    whole = mixing.source_plan(df, targets, schedules=schedules).collect()
+    assert {r.source: r.can_reach for r in whole} == {r.source: r.can_reach for r in mixing.source_plan(df, targets).collect()}
+
+
+def test_sources_run_out_as_their_schedule_asks(spark, tables):
+    sizes, df, targets = tables
+    everything = total(sizes, "big", "mid", "small")
+    for r in mixing.source_plan(df, targets).collect():
+        if r.target_share > 0:
+            share = min(1.0, r.tokens * r.max_repeats / (r.target_share * everything))
+            knots = [(0.0, 1 - r.slope), (1.0, 1 + r.slope)]
+            assert abs(area(knots, r.exhausted_at) - share) < 1e-6 and (r.exhausted_at < 1) == (not r.can_reach)
+
+
 def test_running_demand(tables, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_DOCS", 7)
     sizes, df, _ = tables
