@@ -11,7 +11,7 @@ from pagegrain.functions import geometry as g
 from pagegrain.functions import text as t
 from pagegrain.operators import atoms, intervals, layout, nested, overlay, views
 from pagegrain.plans import fixtures, oracle, parse
-from pagegrain.runtime import table, unnest
+from pagegrain.runtime import materialize, table, unnest
 from pagegrain.sources.raw import at_page
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -539,7 +539,7 @@ def p6_leaves(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p6_rest(spark: SparkSession, d: str) -> DataFrame:
-    return nested.rest_table(_flat(spark, d))
+    return nested.rest_table(materialize(_flat(spark, d), "flat-records"))
 
 
 @query
