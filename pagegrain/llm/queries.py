@@ -49,6 +49,13 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(_distinct_texts(spark, d), "chunk_id", "content")
 
 
+def p2_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """The texts put together again from their pieces, each without its overlap; and the largest piece's and the least overlap's length."""
+    pieces = p2_pieces(spark, d).withColumn("fresh", F.when(F.col("piece_no") == 0, F.col("piece")).otherwise(F.expr("substring(piece, 101)")))
+    texts = pieces.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "fresh"))).alias("ps"), (F.max(F.length("piece")) <= 1000).alias("within_limit"))
+    return texts.select("chunk_id", F.array_join(F.transform("ps", lambda p: p["fresh"]), "").alias("content"), "within_limit")
+
+
 # 3: quality
 def _statistics(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "common_words")
@@ -95,10 +102,10 @@ def p4_bounded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_bins(spark: SparkSession, d: str) -> DataFrame:
-    """Figures of the packing for each source: its characters, and whether its containers keep their capacity and leave little space."""
+    """Figures of the packing for each source: its characters, whether its containers keep their capacity, and their number what falling best-fit guarantees."""
     bins = _packed(spark, d).groupBy("source", "container").agg(F.sum(F.col("end") - F.col("start")).alias("chars"))
     sums = bins.groupBy("source").agg(F.sum("chars").alias("n_chars"), F.count(F.lit(1)).alias("n_bins"), F.max("chars").alias("fullest"))
-    return sums.select("source", "n_chars", (F.col("fullest") <= 6000).alias("within_capacity"), (F.col("n_bins") <= F.ceil(F.col("n_chars") / 6000) * 1.01 + 1).alias("within_a_hundredth"))
+    return sums.select("source", "n_chars", (F.col("fullest") <= 6000).alias("within_capacity"), (F.col("n_bins") * 9 <= F.ceil(F.col("n_chars") / 6000) * 11 + 9).alias("within_guarantee"))
 
 
 # 5: site lines
@@ -202,7 +209,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_forms": p1_forms, "p1_classes": p1_classes,
-    "p2_found": p2_found, "p2_pieces": p2_pieces,
+    "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_rejoined": p2_rejoined,
     "p3_found": p3_found, "p3_statistics": p3_statistics, "p3_repetition": p3_repetition,
     "p4_found": p4_found, "p4_containers": p4_containers, "p4_bounded": p4_bounded, "p4_bins": p4_bins,
     "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p5_rebuilt": p5_rebuilt,
@@ -221,6 +228,17 @@ many AS (SELECT source, line, count(DISTINCT doc_id) AS n_docs FROM lines WHERE
 excessive AS (SELECT source, line FROM many JOIN files USING (source) WHERE n_docs >= 3 AND n_docs >= n_files * 0.2::DOUBLE)
 """
 
+_REBUILT = _LINES.split("files AS (")[0].replace("SELECT DISTINCT chunk_id, doc_id, source, content FROM", "SELECT DISTINCT chunk_id, doc_id, source, content, strftime(date_trunc('quarter', ingested_at), '%Y-%m') AS quarter FROM").replace("doc_id, source, unnest", "doc_id, source, quarter, unnest").replace("doc_id, source, line_no,", "doc_id, source, quarter, line_no,") + """
+known AS (SELECT DISTINCT source, doc_id, strftime(date_trunc('quarter', ingested_at), '%Y-%m') AS quarter FROM chunks),
+upto AS (SELECT DISTINCT quarter AS q FROM known),
+files AS (SELECT q, source, count(DISTINCT doc_id) AS n_files FROM known, upto WHERE quarter <= q GROUP BY ALL),
+held AS (SELECT DISTINCT q, source, line, doc_id FROM lines, upto WHERE quarter <= q AND line <> ''),
+many AS (SELECT q, source, line, count(*) AS n_docs FROM held GROUP BY ALL),
+excessive AS (SELECT q, source, line FROM many JOIN files USING (q, source) WHERE n_docs >= 3 AND n_docs >= n_files * 0.2::DOUBLE),
+before AS (SELECT u.q, source, line FROM excessive e JOIN (SELECT q, lag(q) OVER (ORDER BY q) AS p FROM upto) u ON e.q = u.p),
+crossed AS ((SELECT * FROM excessive EXCEPT SELECT * FROM before) UNION (SELECT * FROM before EXCEPT SELECT * FROM excessive))
+SELECT DISTINCT q AS quarter, source, doc_id FROM held JOIN crossed USING (q, source, line)
+"""
 _BLANK_SIGNS = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _REPETITION = rf"""
 WITH texts AS (SELECT DISTINCT chunk_id, doc_id, content FROM chunks WHERE type = 'text' AND content IS NOT NULL),
@@ -242,7 +260,9 @@ ORACLES: dict[str, str] = {
     "p4_found": """SELECT doc_id, page_number FROM (SELECT DISTINCT chunk_id, doc_id, page_number, length(content) AS n FROM chunks WHERE type = 'text' AND content IS NOT NULL)
 GROUP BY doc_id, page_number HAVING sum(n) + 2 * (count(*) - 1) > 6000""",
     "p3_repetition": _REPETITION,
-    "p4_bins": """SELECT source, sum(n)::BIGINT AS n_chars, true AS within_capacity, true AS within_a_hundredth FROM (SELECT min(source) AS source, sum(n) + 2 * (count(*) - 1) AS n FROM
+    "p2_rejoined": "SELECT DISTINCT chunk_id, content, true AS within_limit FROM chunks WHERE type = 'text' AND content IS NOT NULL",
+    "p5_rebuilt": _REBUILT,
+    "p4_bins": """SELECT source, sum(n)::BIGINT AS n_chars, true AS within_capacity, true AS within_guarantee FROM (SELECT min(source) AS source, sum(n) + 2 * (count(*) - 1) AS n FROM
 (SELECT DISTINCT chunk_id, source, doc_id, page_number, length(content) AS n FROM chunks WHERE type = 'text' AND content IS NOT NULL) GROUP BY doc_id, page_number) GROUP BY source""",
     "p5_cleaned": _LINES + """, kept AS (SELECT s.chunk_id, string_agg(s.line, chr(10) ORDER BY s.line_no) AS content FROM split s LEFT JOIN (SELECT DISTINCT chunk_id, line_no FROM lines JOIN excessive USING (source, line)) g USING (chunk_id, line_no) WHERE g.chunk_id IS NULL GROUP BY s.chunk_id)
 SELECT chunk_id, CASE WHEN c.content IS NOT NULL THEN coalesce(k.content, '') END AS content FROM (SELECT DISTINCT chunk_id, content FROM chunks WHERE type = 'text') c LEFT JOIN kept k USING (chunk_id)""",
