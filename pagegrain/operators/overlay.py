@@ -1,4 +1,4 @@
-"""Overlays of a page's chunks as SVG.
+"""Overlays of a page's chunks as SVG or PNG.
 
 Labels are placed one after another, each where it hides least, which a page's
 labels before it decide; this runs on a page's arrays in Python. Candidates,
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pagegrain.functions import geometry as g
 from pagegrain.functions import text as t
+from pagegrain.functions.raster import Picture, colour
 from pagegrain.operators.atoms import PAGE
 
 #: Label size without font metrics, padding, margins, and the costs of covering labels and boxes.
@@ -117,17 +118,59 @@ def render_svg(chunks: DataFrame, pages: DataFrame, zoom: float = 2.0, show_labe
 
 def svg_of_pages(pages: DataFrame, zoom: float = 2.0, show_labels: bool = True, recurse_groups: bool = True) -> DataFrame:
     """As ``render_svg``, from pages with ``chunks`` (``layout.with_chunks``); nothing is shuffled."""
+    return _svg(_drawn_pages(pages, zoom, recurse_groups), zoom, show_labels)
+
+
+def png_of_pages(pages: DataFrame, zoom: float = 2.0, show_labels: bool = True, recurse_groups: bool = True) -> DataFrame:
+    """``doc_id, page_number, png``: as ``svg_of_pages``, drawn on a white page; nothing is shuffled.
+
+    The page itself isn't in the picture, as raw pages don't hold its drawing.
+    """
+    both = _with_places(_drawn_pages(pages, zoom, recurse_groups), zoom)
+    part = lambda name: F.transform("cs", lambda c: c[name])
+    place = F.zip_with("places", "chosen", lambda o, k: F.get(o, k))
+    rects = F.flatten(F.transform(place, lambda p: F.array(*(p["rect"][s] for s in g.SIDES), p["ax"], p["ay"])))
+    boxes = F.flatten(F.transform("cs", lambda c: F.array(*(c["box"][s] for s in g.SIDES))))
+    labels = part("label") if show_labels else F.array().cast("array<string>")
+    picture = F.pandas_udf(_pictures, "binary").asNondeterministic()
+    return both.select(*PAGE, picture("w", "h", boxes, part("colour"), part("line_width"), labels, rects).alias("png"))
+
+
+def _pictures(pages: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    for batch in pages:
+        out = []
+        for w, h, boxes, colours, widths, labels, rects in zip(*batch, strict=True):
+            picture = Picture(w, h)
+            places = np.asarray(rects, dtype=float).reshape(-1, 6)
+            for k, (box, shade, width) in enumerate(zip(np.asarray(boxes, dtype=float).reshape(-1, 4), colours, widths, strict=True)):
+                picture.frame(*box, colour(shade), int(width))
+                if len(labels):
+                    x0, y0, x1, y1, ax, ay = places[k]
+                    picture.fill(x0, y0, x1, y1, colour(shade))
+                    picture.write(x0 + PAD_X, (y0 + y1) / 2 - 3.5, labels[k] or "", (255, 255, 255))
+                    picture.line(ax, ay, (x0 + x1) / 2, (y0 + y1) / 2, colour(t.COLOURS["connector"]))
+            out.append(picture.png())
+        yield pd.Series(out, dtype=object)
+
+
+def _drawn_pages(pages: DataFrame, zoom: float, recurse_groups: bool) -> DataFrame:
     drawn = F.transform(F.filter("chunks", lambda c: _is_drawn(c.__getitem__, recurse_groups)), lambda c: _drawn(c.__getitem__, zoom))
-    return _svg(pages.select(*PAGE, "width", "height", drawn.alias("cs")), zoom, show_labels)
+    return pages.select(*PAGE, "width", "height", drawn.alias("cs"))
 
 
-def _svg(both: DataFrame, zoom: float, show_labels: bool) -> DataFrame:
+def _with_places(both: DataFrame, zoom: float) -> DataFrame:
+    """Adds each chunk's eight places and the number of the chosen one."""
     if zoom <= 0:
         raise ValueError("zoom must be above 0")
     both = both.select(*PAGE, (F.col("width") * zoom).alias("w"), (F.col("height") * zoom).alias("h"), "cs")
     numbers = lambda b: F.array(*(b[s] for s in g.SIDES))
     both = both.withColumn("places", F.transform("cs", lambda c: candidates(c["box"], label_width(c["label"]), c["type"] == "group", F.col("w"), F.col("h"), zoom)))
     both = both.withColumn("chosen", F.pandas_udf(_placed, "array<int>").asNondeterministic()(F.flatten(F.transform("cs", lambda c: numbers(c["box"]))), F.flatten(F.transform("places", lambda o: F.flatten(F.transform(o, lambda p: numbers(p["rect"])))))))
+    return both
+
+
+def _svg(both: DataFrame, zoom: float, show_labels: bool) -> DataFrame:
+    both = _with_places(both, zoom)
     text = lambda *parts: F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
 
     def element(c: Column, i: Column) -> Column:

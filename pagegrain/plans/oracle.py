@@ -320,6 +320,7 @@ ORACLES: dict[str, str] = {
     "parse_page": f"WITH RECURSIVE {CHUNKS}, one AS (SELECT doc_id, max(page_number) AS page_number FROM pages WHERE doc_id = (SELECT min(doc_id) FROM pages) GROUP BY doc_id) SELECT doc_id, page_number, path, parent_path, depth, ordinal, chunk_index, type, layout, {_SIDES}, content, content_raw, content_tagged, mime_type, x, y, coarse, x_zone, x_zone_count, y_zone, y_zone_count, relative_position FROM parsed JOIN one USING (doc_id, page_number)",
     "page_json_tree": f"WITH RECURSIVE {CHUNKS} SELECT doc_id || '/' || page_number AS key, substr(path, 1) AS node_path, parent_path, type, layout, chunk_index, coarse, relative_position, content, b.x0 AS x0, b.y1 AS y1 FROM parsed",
     "document_json_parts": f"WITH RECURSIVE {CHUNKS}, counted AS (SELECT doc_id, page_number, count(p.path) AS n FROM pages LEFT JOIN parsed p USING (doc_id, page_number) GROUP BY ALL) SELECT doc_id || '/' || ((page_number - 1) // 3) AS key, count(*) AS n_pages, sum(n)::BIGINT AS n_chunks FROM counted GROUP BY ALL",
+    "overlay_png": f"WITH {PAGES} SELECT doc_id, page_number, '504E47' AS kind, (width * 2)::INTEGER AS width, (height * 2)::INTEGER AS height FROM pages",
     "overlay_frames": f"""WITH RECURSIVE {CHUNKS} SELECT doc_id, page_number, chunk_index AS at, b.x0 * 2 AS x, b.y0 * 2 AS y, {w('b')} * 2 AS width, {h('b')} * 2 AS height,
   CASE WHEN type = 'group' THEN CASE WHEN layout = 'horizontal' THEN '#ff8c00' ELSE '#9933ff' END WHEN type = 'text' THEN '#0066cc' WHEN type = 'image' THEN '#009933' WHEN type = 'table' THEN '#cc0000' ELSE '#000000' END AS colour,
   greatest(1, 2 - depth)::INTEGER AS line_width FROM parsed""",

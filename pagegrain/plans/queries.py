@@ -494,6 +494,14 @@ def overlay_svg(spark: SparkSession, d: str) -> DataFrame:
     return overlay.svg_of_pages(_parsed(spark, d))
 
 
+@query
+def overlay_png(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes in pixels of the pages' pictures, as their files give them."""
+    pictures = overlay.png_of_pages(_parsed(spark, d))
+    size = lambda at: F.conv(F.hex(F.substring("png", at, 4)), 16, 10).cast("int")
+    return pictures.select(*atoms.PAGE, F.hex(F.substring("png", 2, 3)).alias("kind"), size(17).alias("width"), size(21).alias("height"))
+
+
 @query
 def overlay_frames(spark: SparkSession, d: str) -> DataFrame:
     """The frames in the drawings of pages, read again from their text: place, size and colour of each."""

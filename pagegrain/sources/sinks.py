@@ -34,17 +34,18 @@ def write_json_file(json_rows: DataFrame, path: str, indent: int | None = 2) ->
     return path
 
 
-def write_svg(drawings: DataFrame, path: str, mode: str = "error") -> None:
+def write_drawings(drawings: DataFrame, path: str, mode: str = "error") -> None:
     """Drawings as Parquet with one file's text in each row; for many pages single files would burden the file system."""
     drawings.write.mode(mode).parquet(path)
 
 
-def write_svg_file(drawings: DataFrame, path: str) -> str:
-    """The one drawing of ``drawings`` as a file on the driver; gives the path."""
-    rows = drawings.select("svg").limit(2).collect()
+def write_drawing_file(drawings: DataFrame, path: str) -> str:
+    """The one drawing of ``drawings`` (``svg`` or ``png``) as a file on the driver; gives the path."""
+    kind = "png" if "png" in drawings.columns else "svg"
+    rows = drawings.select(kind).limit(2).collect()
     if len(rows) != 1:
-        raise ValueError("an SVG file takes exactly one row")
+        raise ValueError("a file takes exactly one drawing")
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(rows[0].svg)
+    with open(path, "wb") as f:
+        f.write(rows[0][0] if kind == "png" else rows[0][0].encode())
     return path

@@ -82,17 +82,63 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.write_json_file(jsons, path)
     drawings = overlay.svg_of_pages(whole)
-    assert open(sinks.write_svg_file(drawings.where("page_number = 1"), str(tmp_path / "p.svg"))).read().endswith("</svg>")
+    assert open(sinks.write_drawing_file(drawings.where("page_number = 1"), str(tmp_path / "p.svg"))).read().endswith("</svg>")
     with pytest.raises(ValueError):
-        sinks.write_svg_file(drawings.limit(0), str(tmp_path / "p.svg"))
+        sinks.write_drawing_file(drawings.limit(0), str(tmp_path / "p.svg"))
     sinks.write_chunks(chunks, str(tmp_path / "chunks"))
     assert spark.read.parquet(str(tmp_path / "chunks")).count() == 3
     sinks.write_json(jsons, str(tmp_path / "json"))
     assert sorted(json.loads(r.value)["page_number"] for r in spark.read.text(str(tmp_path / "json")).collect()) == [1, 2, 3]
-    sinks.write_svg(drawings, str(tmp_path / "svg"))
+    sinks.write_drawings(drawings, str(tmp_path / "svg"))
     assert spark.read.parquet(str(tmp_path / "svg")).count() == 3
 
 
+def dots(png):
+    """The pixels of a PNG file, by the format's plain rules."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    assert png[:8] == b"\x89PNG\r\n\x1a\n"
+    at, parts = 8, {}
+    while at < len(png):
+        n, kind = struct.unpack(">I4s", png[at : at + 8])
+        assert zlib.crc32(png[at + 4 : at + 8 + n]) == struct.unpack(">I", png[at + 8 + n : at + 12 + n])[0]
+        parts[kind] = parts.get(kind, b"") + png[at + 8 : at + 8 + n]
+        at += 12 + n
+    width, height = struct.unpack(">II", parts[b"IHDR"][:8])
+    rows = np.frombuffer(zlib.decompress(parts[b"IDAT"]), dtype=np.uint8).reshape(height, 1 + 3 * width)
+    assert not rows[:, 0].any()
+    return rows[:, 1:].reshape(height, width, 3)
+
+
+def test_pictures(spark, tmp_path):
+    whole, _ = page_of(spark)
+    pictures = overlay.png_of_pages(whole)
+    assert "Exchange" not in pictures._jdf.queryExecution().executedPlan().toString()
+    path = sinks.write_drawing_file(pictures.where("page_number = 1"), str(tmp_path / "o" / "p.png"))
+    seen = dots(open(path, "rb").read())
+    assert seen.shape == (1600, 1200, 3)
+    blue, white = (0x00, 0x66, 0xCC), (255, 255, 255)
+    assert tuple(seen[20, 100]) == tuple(seen[59, 100]) == tuple(seen[40, 20]) == tuple(seen[40, 179]) == blue and tuple(seen[40, 100]) == tuple(seen[800, 600]) == white
+    plain = dots(overlay.png_of_pages(whole, show_labels=False).first().png)
+    assert (seen != plain).any(axis=2).sum() > 200 and ((plain == blue).all(axis=2) | (plain == 255).all(axis=2)).all()
+    with pytest.raises(ValueError):
+        overlay.png_of_pages(whole, zoom=0.0)
+
+
+def test_signs_are_drawn():
+    from pagegrain.functions.raster import Picture
+
+    picture = Picture(20, 9)
+    picture.write(1, 1, "I?", (0, 0, 0))
+    assert ["".join(".#"[int(not d.any())] for d in row) for row in picture.dots[1:8, 1:13]] == [".###...#####", "..#....#...#", "..#....#...#", "..#....#...#", "..#....#...#", "..#....#...#", ".###...#####"]
+    picture.write(-3, 6, "AAAA", (0, 0, 0))
+    picture.line(-5, -5, 40, 40, (1, 2, 3))
+    assert len(dots(picture.png())) == 9
+
+
 def test_documents_in_parts(spark):
     whole, _ = page_of(spark)
     jsons = views.json_of_pages(whole)
