@@ -18,6 +18,7 @@ from pagegrain.functions import geometry as g
 from pagegrain.functions import text as t
 from pagegrain.functions.raster import Picture, colour
 from pagegrain.operators.atoms import PAGE
+from pagegrain.runtime import unnest
 
 #: Label size without font metrics, padding, margins, and the costs of covering labels and boxes.
 LABEL_MIN_WIDTH, LABEL_PER_SIGN, LABEL_HEIGHT = 20, 7, 14
@@ -136,6 +137,14 @@ def png_of_pages(pages: DataFrame, zoom: float = 2.0, show_labels: bool = True,
     return both.select(*PAGE, picture("w", "h", boxes, part("colour"), part("line_width"), labels, rects).alias("png"))
 
 
+def placed_labels(pages: DataFrame, zoom: float = 2.0, recurse_groups: bool = True) -> DataFrame:
+    """``doc_id, page_number, at, place_no, rect, ax, ay``: where the label of each drawn chunk goes, and its anchor."""
+    both = _with_places(_drawn_pages(pages, zoom, recurse_groups), zoom)
+    chosen = F.zip_with("places", "chosen", lambda o, k: F.struct(k.alias("place_no"), F.get(o, k).alias("p")))
+    rows = unnest(both, PAGE, chosen, "at", "c")
+    return rows.select(*PAGE, "at", "c.place_no", "c.p.rect", "c.p.ax", "c.p.ay")
+
+
 def _pictures(pages: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     for batch in pages:
         out = []

@@ -206,6 +206,23 @@ def page_text(column: str) -> str:
     return f"WITH {_NODES}, texts AS (SELECT doc_id, page_number, string_agg({column}, chr(10) || chr(10) ORDER BY chunk_index) AS text FROM known WHERE type = 'text' GROUP BY doc_id, page_number) SELECT doc_id, page_number, coalesce(text, '') AS text FROM (SELECT DISTINCT doc_id, page_number FROM known) LEFT JOIN texts USING (doc_id, page_number)"
 
 
+_LABELS = f"""{CHUNKS}, drawn AS (SELECT doc_id, page_number, chunk_index AS k, type, b.x0 * 2 AS x0, b.y0 * 2 AS y0, b.x1 * 2 AS x1, b.y1 * 2 AS y1, width * 2 AS pw, height * 2 AS ph,
+  CASE WHEN type = 'group' THEN CASE WHEN layout = 'horizontal' THEN 'G:H' ELSE 'G:V' END ELSE upper(type) END || ' [' || coarse || '] {{x:' || x_zone || '/' || x_zone_count || ',y:' || y_zone || '/' || y_zone_count || '}}' || CASE WHEN length(relative_position) > 0 THEN ' <' || relative_position || '>' ELSE '' END AS label
+  FROM parsed JOIN pages USING (doc_id, page_number)),
+sized AS (SELECT *, greatest(20, 7 * length(label)) + 8::DOUBLE AS w, 18::DOUBLE AS h, 8 * CASE WHEN type = 'group' THEN 1.8::DOUBLE ELSE 1::DOUBLE END AS m, (x0 + x1) / 2 AS mx, (y0 + y1) / 2 AS my FROM drawn),
+corners AS (SELECT *, [{{'n': 0, 'l': x0, 't': y0 - h - m, 'ax': x0, 'ay': y0}}, {{'n': 1, 'l': x1 - w, 't': y0 - h - m, 'ax': x1, 'ay': y0}}, {{'n': 2, 'l': x1 + m, 't': my - h / 2, 'ax': x1, 'ay': my}}, {{'n': 3, 'l': x0 - m - w, 't': my - h / 2, 'ax': x0, 'ay': my}},
+  {{'n': 4, 'l': x0, 't': y1 + m, 'ax': x0, 'ay': y1}}, {{'n': 5, 'l': x1 - w, 't': y1 + m, 'ax': x1, 'ay': y1}}, {{'n': 6, 'l': mx - w / 2, 't': y0 - h - m, 'ax': mx, 'ay': y0}}, {{'n': 7, 'l': mx - w / 2, 't': y1 + m, 'ax': mx, 'ay': y1}}] AS ps FROM sized),
+shifted AS (SELECT *, list_transform(ps, lambda p: {{'n': p.n, 'ax': p.ax, 'ay': p.ay, 'l': p.l, 't': p.t, 'dx': CASE WHEN p.l < 0 THEN -p.l WHEN p.l + w > pw THEN pw - (p.l + w) ELSE 0 END, 'dy': CASE WHEN p.t < 0 THEN -p.t WHEN p.t + h > ph THEN ph - (p.t + h) ELSE 0 END}}) AS qs FROM corners),
+options AS MATERIALIZED (SELECT doc_id, page_number, k, mx, my, list_transform(qs, lambda p: {{'n': p.n, 'ax': p.ax, 'ay': p.ay, 'x0': p.l + p.dx, 'y0': p.t + p.dy, 'x1': p.l + w + p.dx, 'y1': p.t + h + p.dy}}) AS rs FROM shifted),
+all_boxes AS MATERIALIZED (SELECT doc_id, page_number, list({{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}) AS bs FROM drawn GROUP BY doc_id, page_number),
+placed AS (SELECT doc_id, page_number, -1 AS k, NULL::STRUCT(n INTEGER, ax DOUBLE, ay DOUBLE, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE) AS r, []::STRUCT(x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[] AS taken FROM all_boxes
+UNION ALL SELECT doc_id, page_number, k, r, list_append(taken, {{'x0': r.x0, 'y0': r.y0, 'x1': r.x1, 'y1': r.y1}}) FROM (
+ SELECT doc_id, page_number, k, taken, list_sort(list_transform(rs, lambda r: CASE WHEN len(list_filter(taken, lambda u: {meet('u', 'r')})) > 0
+   THEN {{'tier': 2, 'cost': len(list_filter(taken, lambda u: {meet('u', 'r')})) * 1000::DOUBLE + len(list_filter(bs, lambda u: {meet('u', 'r')})) * 300::DOUBLE + (pow(mx - least(greatest(mx, r.x0), r.x1), 2) + pow(my - least(greatest(my, r.y0), r.y1), 2)) * 0.001::DOUBLE, 'n': r.n, 'r': r}}
+   ELSE {{'tier': CASE WHEN len(list_filter(bs, lambda u: {meet('u', 'r')})) > 0 THEN 1 ELSE 0 END, 'cost': 0::DOUBLE, 'n': r.n, 'r': r}} END))[1].r AS r
+ FROM (SELECT p.taken, o.*, a.bs FROM placed p JOIN options o ON o.doc_id = p.doc_id AND o.page_number = p.page_number AND o.k = p.k + 1 JOIN all_boxes a ON a.doc_id = p.doc_id AND a.page_number = p.page_number)))"""
+
+
 _INTERVALS = f"""{BOXES}, cut AS (SELECT page, axis, s, e FROM (SELECT page, 'x' AS axis, greatest(x0, 0) AS s, least(x1, 612) AS e FROM boxes UNION ALL SELECT page, 'y', greatest(y0, 0), least(y1, 792) FROM boxes) WHERE e > s),
 reach AS (SELECT *, max(e) OVER (PARTITION BY page, axis ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM cut),
 isle AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY page, axis ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM reach),
@@ -320,6 +337,7 @@ ORACLES: dict[str, str] = {
     "parse_page": f"WITH RECURSIVE {CHUNKS}, one AS (SELECT doc_id, max(page_number) AS page_number FROM pages WHERE doc_id = (SELECT min(doc_id) FROM pages) GROUP BY doc_id) SELECT doc_id, page_number, path, parent_path, depth, ordinal, chunk_index, type, layout, {_SIDES}, content, content_raw, content_tagged, mime_type, x, y, coarse, x_zone, x_zone_count, y_zone, y_zone_count, relative_position FROM parsed JOIN one USING (doc_id, page_number)",
     "page_json_tree": f"WITH RECURSIVE {CHUNKS} SELECT doc_id || '/' || page_number AS key, substr(path, 1) AS node_path, parent_path, type, layout, chunk_index, coarse, relative_position, content, b.x0 AS x0, b.y1 AS y1 FROM parsed",
     "document_json_parts": f"WITH RECURSIVE {CHUNKS}, counted AS (SELECT doc_id, page_number, count(p.path) AS n FROM pages LEFT JOIN parsed p USING (doc_id, page_number) GROUP BY ALL) SELECT doc_id || '/' || ((page_number - 1) // 3) AS key, count(*) AS n_pages, sum(n)::BIGINT AS n_chunks FROM counted GROUP BY ALL",
+    "overlay_labels": f"WITH RECURSIVE {_LABELS} SELECT doc_id, page_number, k AS at, r.n AS place_no, r.x0 AS x0, r.y0 AS y0, r.x1 AS x1, r.y1 AS y1, r.ax AS ax, r.ay AS ay FROM placed WHERE k >= 0",
     "overlay_png": f"WITH {PAGES} SELECT doc_id, page_number, '504E47' AS kind, (width * 2)::INTEGER AS width, (height * 2)::INTEGER AS height FROM pages",
     "overlay_frames": f"""WITH RECURSIVE {CHUNKS} SELECT doc_id, page_number, chunk_index AS at, b.x0 * 2 AS x, b.y0 * 2 AS y, {w('b')} * 2 AS width, {h('b')} * 2 AS height,
   CASE WHEN type = 'group' THEN CASE WHEN layout = 'horizontal' THEN '#ff8c00' ELSE '#9933ff' END WHEN type = 'text' THEN '#0066cc' WHEN type = 'image' THEN '#009933' WHEN type = 'table' THEN '#cc0000' ELSE '#000000' END AS colour,

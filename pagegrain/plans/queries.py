@@ -494,6 +494,11 @@ def overlay_svg(spark: SparkSession, d: str) -> DataFrame:
     return overlay.svg_of_pages(_parsed(spark, d))
 
 
+@query
+def overlay_labels(spark: SparkSession, d: str) -> DataFrame:
+    return overlay.placed_labels(_parsed(spark, d)).select(*atoms.PAGE, "at", "place_no", *_sides("rect"), "ax", "ay")
+
+
 @query
 def overlay_png(spark: SparkSession, d: str) -> DataFrame:
     """Sizes in pixels of the pages' pictures, as their files give them."""
