@@ -315,25 +315,30 @@ def page_table(flat: DataFrame, id_col: str = "record_id", shape: RecordShape =
     return flat.where(F.col("table_name") == shape.outer).select(id_col, "page_index", "page_number", _number("width").alias("width"), _number("height").alias("height"), F.expr("try_cast(fields['debug.atom_count'] AS int)").alias("atom_count"), rest)
 
 
-def found_nodes(flat: DataFrame, id_col: str = "record_id") -> DataFrame:
-    """``id_col, page_number, node_path, parent_path`` of the pivoted tables of groups and of leaves."""
-    keys = [id_col, "page_number", "node_path", "parent_path"]
-    return node_table(flat, True, id_col).select(*keys).unionByName(node_table(flat, False, id_col).select(*keys))
+def _own(groups: bool | None) -> list[Column]:
+    """The columns that groups, leaves or (None) both have besides those of any chunk."""
+    text = lambda name: F.expr(f"fields['{name}']").alias(name)
+    leaf = [text("content"), text("mime_type"), F.expr("try_cast(fields['debug.line_count'] AS int)").alias("line_count"), F.expr("fields['debug.dropped_reason']").alias("dropped_reason")]
+    return [*([text("layout")] if groups in (True, None) else []), *(leaf if groups in (False, None) else [])]
 
 
-def node_table(flat: DataFrame, groups: bool, id_col: str = "record_id", shape: RecordShape = RecordShape()) -> DataFrame:
-    """One row for each chunk object: the groups, or the leaves (all others); ``rest`` has the fields without a column."""
+def node_table(flat: DataFrame, groups: bool | None, id_col: str = "record_id", shape: RecordShape = RecordShape()) -> DataFrame:
+    """One row for each chunk object: the groups, the leaves (all others), or with None both; ``rest`` has the fields without a column."""
     is_group = F.coalesce(F.expr("fields['type']"), F.lit("")) == "group"
-    text = lambda name: F.expr(f"fields['{name}']").alias(name)
-    own = [text("layout")] if groups else [text("content"), text("mime_type"), F.expr("try_cast(fields['debug.line_count'] AS int)").alias("line_count"), F.expr("fields['debug.dropped_reason']").alias("dropped_reason")]
-    taken = ["type", *(["layout"] if groups else ["content", "mime_type", "debug.dropped_reason"])]
-    numbers = {"chunk_index": "int", "size_normalized.w": "double", "size_normalized.h": "double"} | _BOX_FIELDS | ({} if groups else {"debug.line_count": "int"})
-    return flat.where((F.col("table_name") == shape.items) & (is_group if groups else ~is_group)).select(
-        id_col, "page_index", "page_number", "node_path", "parent_path", "ordinal", F.expr("try_cast(fields['chunk_index'] AS int)").alias("chunk_index"), text("type"),
-        _box(), _number("size_normalized.w").alias("w"), _number("size_normalized.h").alias("h"), *own, _rest(taken, numbers),
+    taken = ["type", *(["layout"] if groups in (True, None) else []), *(["content", "mime_type", "debug.dropped_reason"] if groups in (False, None) else [])]
+    numbers = {"chunk_index": "int", "size_normalized.w": "double", "size_normalized.h": "double"} | _BOX_FIELDS | ({"debug.line_count": "int"} if groups in (False, None) else {})
+    nodes = flat.where(F.col("table_name") == shape.items)
+    return (nodes if groups is None else nodes.where(is_group if groups else ~is_group)).select(
+        id_col, "page_index", "page_number", "node_path", "parent_path", "ordinal", F.expr("try_cast(fields['chunk_index'] AS int)").alias("chunk_index"), F.expr("fields['type']").alias("type"),
+        _box(), _number("size_normalized.w").alias("w"), _number("size_normalized.h").alias("h"), *_own(groups), _rest(taken, numbers),
     )
 
 
+def found_nodes(flat: DataFrame, id_col: str = "record_id") -> DataFrame:
+    """``id_col, page_number, node_path, parent_path`` of the pivoted table of groups and leaves."""
+    return node_table(flat, None, id_col).select(id_col, "page_number", "node_path", "parent_path")
+
+
 _TAG = r"^tags\[[0-9]+\]$"
 
 
