@@ -131,19 +131,20 @@ def site_line_deltas(spark: SparkSession, chunks: DataFrame, path: str, with_tex
     for quarter in sorted(r.quarter for r in files.select("quarter").distinct().collect()):  # one for each quarter of a year
         before, now, so_far = ledger, F.col("quarter") == quarter, F.col("quarter") <= quarter
         ledger = before.merge(lines.where(now), files.where(now))
-        redo = materialize(ledger.to_redo(before, files.where(now)), "redo")
+        crossed = materialize(ledger.to_rebuild(before), "to-rebuild")
+        redo = materialize(crossed.unionByName(files.where(now).select("source", "doc_id")).distinct(), "redo")
         found = ledger.occurrences(sitelines.of_documents(lines.where(so_far), redo))
         if with_text:
             part = sitelines.of_documents(texts.where(so_far).select("chunk_id", "source", "doc_id", "content"), redo)
             found = sitelines.without_lines(part, materialize(found, "found"))
         log.put(ledger.version, redo, found)
-        rebuilt.append(ledger.to_rebuild(before).withColumn("quarter", F.lit(quarter)))
+        rebuilt.append(crossed.withColumn("quarter", F.lit(quarter)))
     return ledger, log, rebuilt
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     _, log, _ = site_line_deltas(spark, table(spark, d, "chunks"), scratch_path(spark, "site-lines"), with_text=False)
-    return log.current().select("chunk_id", "line_no").distinct()
+    return log.current().select("chunk_id", "line_no")
 
 
 def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:

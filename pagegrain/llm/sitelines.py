@@ -149,10 +149,6 @@ class LineLedger:
         crossed = materialize(self.crossed(before).select(*LINE), "line-crossed")
         return _spread(self.incidence, crossed).select("source", "doc_id").distinct()
 
-    def to_redo(self, before: LineLedger, files: DataFrame) -> DataFrame:
-        """``source, doc_id``: the documents to rebuild, and those that the delta (its ``files``) brought or added to."""
-        return self.to_rebuild(before).unionByName(files.select("source", "doc_id")).distinct()
-
     def occurrences(self, lines: DataFrame) -> DataFrame:
         """``chunk_id, line_no, source, doc_id``: every excessive line among ``lines``, repeats once."""
         return _spread(lines, materialize(self.excessive().select(*LINE), "line-excessive")).select("chunk_id", "line_no", "source", "doc_id").distinct()

@@ -121,4 +121,4 @@ def test_large_sets_are_joined_without_broadcast(spark, monkeypatch, tmp_path):
 def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], SCHEMA)
     before, found = ledger(spark, tmp_path, df, F.lit(True), F.lit(True))
-    assert found.version == 2 and found.occurrences(sitelines.line_table(df)).count() == found.to_redo(before, df).count() == 0
+    assert found.version == 2 and found.occurrences(sitelines.line_table(df)).count() == found.to_rebuild(before).count() == 0
