@@ -175,11 +175,12 @@ def pack(items: DataFrame, group_col: str, key_cols: list[str], length_col: str,
     bucket = F.pmod("__hash", F.lit(n_buckets)).cast("int")
     starts = parts.groupBy("__g", "__size", bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("__g", "__size").orderBy("__bucket")) - F.col("n")
-    starts = starts.withColumn("before", before).join(runs, ["__g", "__size"])
+    # these sides grow with sources and buckets: merged, never broadcast
+    starts = starts.withColumn("before", before).join(runs.hint("merge"), ["__g", "__size"])
     met = F.filter("runs", lambda r: (r["from"] < F.col("before") + F.col("n")) & (r["from"] + r["n"] > F.col("before")))
     starts = starts.select("__g", "__size", "__bucket", "before", met.alias("runs"))
     inside = F.row_number().over(Window.partitionBy("__g", "__size", "__bucket").orderBy("__hash", *key_cols, "part_no"))
-    ranked = parts.withColumn("__bucket", bucket).withColumn("__inside", inside).join(starts, ["__g", "__size", "__bucket"])
+    ranked = parts.withColumn("__bucket", bucket).withColumn("__inside", inside).join(starts.hint("merge"), ["__g", "__size", "__bucket"])
     ranked = ranked.withColumn("__rank", F.col("before") + F.col("__inside") - 1)
     mine = F.get(F.filter("runs", lambda r: (r["from"] <= F.col("__rank")) & (F.col("__rank") < r["from"] + r["n"])), F.lit(0))
     ranked = ranked.withColumn("__run", mine)
