@@ -78,3 +78,9 @@ def test_found_are_those_of_the_full_results(spark):
     assert {r.doc_id: r.reading_band for r in QUERIES["p9_found"](spark, DATA).collect()} == profile
     short = {r.source for r in QUERIES["p8_shares"](spark, DATA).where("budget = 'total' and not can_reach").collect()}
     assert {r.source for r in QUERIES["p8_found"](spark, DATA).collect()} == short
+
+
+@pytest.mark.parametrize("name", ["p1_forms", "p2_pieces"])
+def test_texts_are_not_shuffled_for_their_repeats(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastExchange" in plan and "MapInArrow" in plan
