@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.operators.atoms import PAGE, page_counts
-from pagegrain.runtime import distinct_by
+from pagegrain.runtime import once
 
 KINDS = ("text", "image", "table", "group")
 TEXTS = {"clean": "content", "raw": "content_raw", "tagged": "content_tagged"}
 
 
 def distinct_chunks(chunks: DataFrame) -> DataFrame:
-    """Each chunk once; repeated deliveries differ in nothing a view shows."""
-    return distinct_by(chunks, [*PAGE, "path"])
+    """Each chunk once; repeated deliveries differ in nothing a view shows. No rows are shuffled (``runtime.once``)."""
+    return once(chunks, [*PAGE, "path"])
 
 
 def of_kind(chunks: DataFrame, kind: str) -> DataFrame:

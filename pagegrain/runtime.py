@@ -142,15 +142,6 @@ def unnest(df: DataFrame, keep: list, array: str | Column, position: str, value:
     return rows.where(F.col(position).isNotNull())
 
 
-def distinct_by(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each key; which of several stays isn't defined.
-
-    Wide rows can't be merged in a hash table, so a plain ``dropDuplicates`` sorts
-    them before the shuffle and again after it; shuffled first they are sorted once.
-    """
-    return df.repartition(*keys).dropDuplicates(keys)
-
-
 def _same(keys: list[str], other: str) -> Column:
     """Null-safe equality of keys with their namesakes, which begin with ``other``."""
     both = F.lit(True)
@@ -160,12 +151,14 @@ def _same(keys: list[str], other: str) -> Column:
 
 
 def once(df: DataFrame, keys: list[str]) -> DataFrame:
-    """As ``distinct_by``, for wide rows of which few are repeated: these rows aren't shuffled.
-
-    Only keys are counted; of a repeated key the first row, by file and place in
-    it, is known from that and all others are filtered out at the scan. A frame
-    that isn't read from Parquet has no places: there the rows of repeated keys
-    alone are shuffled. Beyond ``REPEATED_KEYS`` of them all rows are.
+    """One row for each key, null-safe, without shuffling rows; which of unequal ones stays isn't defined.
+
+    Only keys are counted, combined before the shuffle, so that a key may be
+    repeated in any share of the rows; of a repeated key the first row, by file and
+    place in it, is known from that and all others are filtered out at the scan. A
+    frame that isn't read from Parquet has no places: there the rows of repeated
+    keys alone are shuffled. Beyond ``REPEATED_KEYS`` of them all rows are, each key's
+    combined before.
     """
     try:
         placed = df.withColumns({"__file": F.xxhash64("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
@@ -175,10 +168,10 @@ def once(df: DataFrame, keys: list[str]) -> DataFrame:
     counted = placed.groupBy(*(F.col(f"`{k}`").alias(f"__k_{k}") for k in keys)).agg(F.count(F.lit(1)).alias("__n"), first)
     repeated = materialize(counted.where("__n > 1").drop("__n"), "repeated-keys")
     if not within(repeated, REPEATED_KEYS):
-        return distinct_by(df, keys)
+        return df.dropDuplicates(keys)
     marks = F.broadcast(repeated)
     if placed is not df:
         marked = placed.join(marks, _same(keys, "__k_"), "left")
         return marked.where(F.col("__first").isNull() | F.struct("__file", "__row").eqNullSafe(F.col("__first"))).select(*(F.col(f"`{c}`") for c in df.columns))
-    again = distinct_by(df.join(marks, _same(keys, "__k_"), "left_semi"), keys)
+    again = df.join(marks, _same(keys, "__k_"), "left_semi").dropDuplicates(keys)
     return df.join(marks, _same(keys, "__k_"), "left_anti").unionByName(again)
