@@ -129,6 +129,27 @@ def word_starts(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
+class Growing:
+    """A flat array that is added to; its room doubles, so that each value is copied a bounded number of times."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.zeros(1024, dtype=kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.room):
+            grown = np.zeros(2 * (self.n + len(values)), dtype=self.room.dtype)
+            grown[: self.n] = self.room[: self.n]
+            self.room = grown
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.room[at]
+
+    def __len__(self) -> int:
+        return self.n
+
+
 class WordStore:
     """Words already encoded: key, bytes and ids, in growing flat arrays."""
 
@@ -140,11 +161,8 @@ class WordStore:
         self.index: dict[int, int] = {}
         self.blob = np.zeros(1 << 20, dtype=np.uint8)
         self.used = 0
-        self.start = np.zeros(0, dtype=np.int64)
-        self.length = np.zeros(0, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.int32)
-        self.id_start = np.zeros(0, dtype=np.int64)
-        self.id_count = np.zeros(0, dtype=np.int64)
+        self.start, self.length, self.id_start, self.id_count = (Growing(np.int64) for _ in range(4))
+        self.ids = Growing(np.int32)
 
     def add(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         flat = gather(data, starts, lengths)
@@ -156,11 +174,11 @@ class WordStore:
         self.blob[self.used : self.used + len(flat)] = flat
         at = len(self.start)
         self.index.update(zip(keys.tolist(), range(at, at + len(keys)), strict=True))
-        self.start = np.append(self.start, self.used + np.cumsum(lengths) - lengths)
-        self.length = np.append(self.length, lengths)
-        self.id_start = np.append(self.id_start, len(self.ids) + np.cumsum(counts) - counts)
-        self.id_count = np.append(self.id_count, counts)
-        self.ids = np.append(self.ids, ids)
+        self.start.add(self.used + np.cumsum(lengths) - lengths)
+        self.length.add(lengths)
+        self.id_start.add(len(self.ids) + np.cumsum(counts) - counts)
+        self.id_count.add(counts)
+        self.ids.add(ids)
         self.used += len(flat)
 
 
