@@ -325,6 +325,7 @@ ORACLES: dict[str, str] = {
     "best_split": f"WITH {_SCORES} SELECT page, axis, s, e, score FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, axis DESC, s) AS n FROM scored) WHERE n = 1",
     "region_members": f"WITH {BOXES}, regions AS (SELECT 'left' AS region, {{'x0': 0::DOUBLE, 'y0': 0::DOUBLE, 'x1': 306::DOUBLE, 'y1': 792::DOUBLE}} AS r UNION ALL SELECT 'right', {{'x0': 306::DOUBLE, 'y0': 0::DOUBLE, 'x1': 612::DOUBLE, 'y1': 792::DOUBLE}}) SELECT page, id, region FROM boxes b, regions WHERE {common('b', 'r')} / greatest({area('b')}, 1e-6::DOUBLE) >= 0.80::DOUBLE",
     "layout_tree": f"WITH RECURSIVE {BOX_TREE} SELECT page, path, parent_path, depth, layout, coalesce(no, -1) AS id FROM nodes",
+    "layout_tree_levels": f"WITH RECURSIVE {BOX_TREE} SELECT page, path, parent_path, depth, layout, coalesce(no, -1) AS id FROM nodes",
     "tree_leaves": f"WITH RECURSIVE {BOX_TREE} SELECT page, no AS id, path FROM nodes WHERE no IS NOT NULL",
     "group_bbox": f"WITH RECURSIVE {BOX_TREE} SELECT page, path, {_SIDES} FROM hulls JOIN nodes USING (page, path) WHERE no IS NULL",
     "preorder_index": f"WITH RECURSIVE {BOX_TREE} SELECT page, path, (row_number() OVER (PARTITION BY page ORDER BY path) - 1)::INTEGER AS chunk_index FROM nodes",

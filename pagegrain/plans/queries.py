@@ -330,6 +330,14 @@ def layout_tree(spark: SparkSession, d: str) -> DataFrame:
     return _box_nodes(spark, d).select("page", "path", "parent_path", "depth", "layout", F.coalesce("id", F.lit(-1)).alias("id"))
 
 
+@query
+def layout_tree_levels(spark: SparkSession, d: str) -> DataFrame:
+    """``layout_tree`` by the expressions of single cuts, level by level."""
+    pages = _box_pages(spark, d)
+    nodes = layout.tree_by_levels(pages, ["page", "ids"])
+    return nodes.select("page", "path", "parent_path", "depth", "layout", F.coalesce(F.get(F.col("ids"), F.col("atom_no")), F.lit(-1)).alias("id"))
+
+
 @query
 def tree_leaves(spark: SparkSession, d: str) -> DataFrame:
     return _box_nodes(spark, d).where("id is not null").select("page", "id", "path")
