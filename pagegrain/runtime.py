@@ -109,16 +109,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table into the shared folder and read it again.
 
     Cuts the lineage so that lost executors only repeat what follows, keeps a
     Python stage from being run once per consumer, and gives the planner real
     sizes. ``scratch`` removes the table, at the latest the driver's end does.
+    ``by``: a column of few values, by which it is parted into folders, so that a
+    filter on it reads no others.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
