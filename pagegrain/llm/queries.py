@@ -111,7 +111,7 @@ def p4_bins(spark: SparkSession, d: str) -> DataFrame:
 # 5: site lines
 def _quarter() -> Column:
     """The partition of a chunk: the quarter in which it arrived; those without a time come with the first."""
-    return F.coalesce(F.date_format(F.date_trunc("quarter", "ingested_at"), "yyyy-MM"), F.lit(""))
+    return F.coalesce(F.date_format(F.date_trunc("quarter", "ingested_at"), "yyyy-MM"), F.lit("0000-00"))
 
 
 def site_line_deltas(spark: SparkSession, chunks: DataFrame, path: str, with_text: bool, min_docs: int = sitelines.MIN_DOCS, min_share: float = sitelines.MIN_SHARE) -> tuple[sitelines.LineLedger, sitelines.DocumentLog, DataFrame]:
@@ -125,8 +125,8 @@ def site_line_deltas(spark: SparkSession, chunks: DataFrame, path: str, with_tex
     texts = chunks.where("type = 'text'")
     if with_text:
         texts = once(texts.select("chunk_id", "source", "doc_id", "content", "quarter"), ["chunk_id"])
-    lines = materialize(sitelines.line_table(texts, ["quarter"]), "lines")
-    files = materialize(chunks.select("source", "doc_id", "quarter").distinct(), "files")
+    lines = materialize(sitelines.line_table(texts, ["quarter"]), "lines", by="quarter")
+    files = materialize(chunks.select("source", "doc_id", "quarter").distinct(), "files", by="quarter")
     ledger, log, rebuilt = sitelines.LineLedger.open(spark, f"{path}/ledger", min_docs, min_share), sitelines.DocumentLog(spark, f"{path}/log"), []
     for quarter in sorted(r.quarter for r in files.select("quarter").distinct().collect()):  # one for each quarter of a year
         before, now, so_far = ledger, F.col("quarter") == quarter, F.col("quarter") <= quarter

@@ -67,11 +67,12 @@ class LineLedger:
 
     It lives in ``path``, a folder that all executors share, and outlives its
     process: ``open`` goes on where the last whole delta ended. Each delta appends
-    what is new; only the counts, without documents, are written whole.
+    what is new; only the counts, without documents, and what follows from them are written whole.
 
     ``incidence``: source, key_a, key_b, doc_id, without repeats.
     ``counts``: source, key_a, key_b, n_docs.
     ``files``: source, doc_id, without repeats; ``totals``: source, n_files.
+    ``excessive``: source, key_a, key_b, n_docs, n_files, over the threshold now.
     """
 
     spark: SparkSession
@@ -127,17 +128,19 @@ class LineLedger:
         if self.version:
             added = self.counts.unionByName(added).groupBy(*LINE).agg(F.sum("n_docs").alias("n_docs"))
         self._write(added, "counts", after.version)
+        likely = after.counts.where(F.col("n_docs") >= self.min_docs).join(after.totals, "source")
+        self._write(likely.where(F.col("n_docs") >= F.col("n_files") * self.min_share), "excessive", after.version)
         self.spark.createDataFrame([(after.version, self.min_docs, self.min_share)], "version int, min_docs int, min_share double").coalesce(1).write.mode("append").parquet(f"{self.path}/done")
         if self.version > 1:
-            delete(self.spark, f"{self.path}/counts/{self.version - 1}")
+            for name in ("counts", "excessive"):
+                delete(self.spark, f"{self.path}/{name}/{self.version - 1}")
         return after
 
     def excessive(self) -> DataFrame:
-        """``source, key_a, key_b, n_docs, n_files`` of the lines over the threshold."""
+        """``source, key_a, key_b, n_docs, n_files`` of the lines over the threshold, as the last merge found them."""
         if not self.version:
             return self.spark.createDataFrame([], "source string, key_a bigint, key_b bigint, n_docs bigint, n_files bigint")
-        likely = self.counts.where(F.col("n_docs") >= self.min_docs)
-        return likely.join(self.totals, "source").where(F.col("n_docs") >= F.col("n_files") * self.min_share)
+        return self._read("excessive", whole=False)
 
     def crossed(self, before: LineLedger) -> DataFrame:
         """``source, key_a, key_b, now``: lines excessive now and not before (now = true), or the reverse."""
