@@ -11,7 +11,7 @@ from pagegrain.functions import geometry as g
 from pagegrain.functions import text as t
 from pagegrain.operators import atoms, intervals, layout, nested, overlay, views
 from pagegrain.plans import fixtures, oracle, parse
-from pagegrain.runtime import materialize, table, unnest
+from pagegrain.runtime import materialize, spread, table, unnest
 from pagegrain.sources.raw import at_page
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,7 +121,8 @@ def page_area_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
-    return atoms.distinct_pages(table(spark, d, "raw_pages"))
+    pages = table(spark, d, "raw_pages")
+    return spread(atoms.distinct_pages(pages), pages)
 
 
 def _text_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -529,7 +530,8 @@ def overlay_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _flat(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flatten_records(table(spark, d, "page_records"))
+    records = table(spark, d, "page_records").select("record_id", "body")
+    return nested.flatten_records(spread(records, records))
 
 
 @query

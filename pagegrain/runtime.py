@@ -134,6 +134,16 @@ def small_side(df: DataFrame, rows_bound: int) -> DataFrame:
     return F.broadcast(df) if within(df, rows_bound) else df
 
 
+def spread(df: DataFrame, scan: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if the files of ``scan``, which it is read from, give fewer.
+
+    For work that is heavy for its bytes, as pages are: a few small files would leave
+    most cores idle. Inputs with a partition for each core are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if scan.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def unnest(df: DataFrame, keep: list, array: str | Column, position: str, value: str) -> DataFrame:
     """One row for each element of a computed array, with its position.
 
