@@ -315,7 +315,8 @@ def dominant_grams(chunks: DataFrame, measured: DataFrame, least_share: float, i
     likely = measured.groupBy(doc_col).agg(F.sum("gram_bound").alias("bound"), F.sum("n_chars").alias("n_chars")).where((F.col("bound") >= F.col("n_chars") * least_share) & (F.col("n_chars") > 0))
     likely = materialize(likely.select(F.col(doc_col).alias("__doc"), "n_chars"), "gram-documents")
     marks = small_side(likely.select("__doc"), BROADCAST_DOCS)
-    texts = chunks.where(F.col(text_col).isNotNull()).join(marks, F.col(doc_col).eqNullSafe(F.col("__doc")), "left_semi").select(F.col(id_col).alias("id"), F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
+    texts = once(chunks.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(doc_col).alias("doc"), F.col(text_col).alias("text")), ["id"])
+    source = texts.join(marks, F.col("doc").eqNullSafe(F.col("__doc")), "left_semi").select("doc", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,7 +329,6 @@ def dominant_grams(chunks: DataFrame, measured: DataFrame, least_share: float, i
                     counts.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())], names=["doc", "key", "size", "n"])
 
-    source = texts.dropDuplicates(["id"]).select("doc", "text")
     grams = source.mapInArrow(run, f"doc {source.schema['doc'].dataType.simpleString()}, key bigint, size int, n bigint").groupBy("doc", "key", "size").agg(F.sum("n").alias("n"))
     top = grams.groupBy("doc").agg(F.max(F.when(F.col("n") > 1, F.col("n") * F.col("size")).otherwise(F.lit(0))).alias("chars"))
     shares = top.join(likely, F.col("doc").eqNullSafe(F.col("__doc"))).select(F.col("doc").alias(doc_col), F.least(F.lit(1.0), F.col("chars") / F.col("n_chars")).alias("top_gram_share"))
